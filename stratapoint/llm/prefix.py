@@ -1,0 +1,34 @@
+"""Ranks and running sums over a whole table, without a single-task window."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from .scratch import Scratch, spread
+
+
+def bucket_offsets(per_bucket: DataFrame, group: list[str], bucket: str, sums: dict[str, str]) -> DataFrame:
+    """Exclusive running sums of each group's buckets: per_bucket has one row per (group, bucket)."""
+    w = W.partitionBy(*group).orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
+    return per_bucket.select(*group, bucket, *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(out) for c, out in sums.items()])
+
+
+def ranked(df: DataFrame, order: list[Column], rank: str, scratch: Scratch, sums: dict[str, str] | None = None) -> DataFrame:
+    """df with a 0-based global rank and exclusive running sums in the given order.
+
+    Rows are range-partitioned and frozen; each partition is ranked alone and
+    shifted by what the partitions before it hold. Only one row per partition
+    meets in a single window.
+    """
+    sums = sums or {}
+    part = scratch.save(df.repartitionByRange(spread(df.sparkSession), *order).withColumn("_part", F.spark_partition_id()))
+    per = part.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(f"_s_{c}") for c in sums])
+    before = bucket_offsets(per.withColumn("_all", F.lit(0)), ["_all"], "_part", {"_n": "_n0", **{f"_s_{c}": f"_s0_{c}" for c in sums}}).drop("_all")
+    w = W.partitionBy("_part").orderBy(*order)
+    back = w.rowsBetween(W.unboundedPreceding, -1)
+    out = part.join(before, "_part").withColumn(rank, F.row_number().over(w) - 1 + F.col("_n0"))
+    for c, name in sums.items():
+        out = out.withColumn(name, F.coalesce(F.sum(c).over(back), F.lit(0)) + F.col(f"_s0_{c}"))
+    return out.drop("_part", "_n0", *[f"_s0_{c}" for c in sums])
