@@ -32,29 +32,29 @@ class ShardParams:
 
 
 def _narrow(keys: DataFrame, key: str, fixed: Column | None, wanted: dict[int, float], start: float, tol: float) -> dict[int, tuple[int, int, float, float, bool]]:
-    """For each wanted splitter (bytes below it), the cell of ``key`` it falls in: (first value, end, bytes below, bytes in, single value)."""
+    """For each wanted splitter (bytes below it), the cell of ``key`` it falls in: (first value, end, bytes below, bytes in, several rows of one value)."""
     rows = keys.filter(fixed) if fixed is not None else keys
-    state = {j: (LOWEST, start, float("inf"), 0) for j in wanted}  # cell start, bytes below, bytes in, bits known
+    state = {j: (LOWEST, start, float("inf"), 0, 2) for j in wanted}  # cell start, bytes below, bytes in, bits known, rows in
     while True:
-        todo = {j for j, s in state.items() if s[2] > tol and s[3] < 64}
+        todo = {j for j, s in state.items() if s[2] > tol and s[3] < 64 and s[4] > 1}
         if not todo:
-            return {j: (s[0], min(s[0] + (1 << (64 - s[3])), 2**63 - 1), s[1], s[2], s[3] >= 64) for j, s in state.items()}
+            return {j: (s[0], min(s[0] + (1 << (64 - s[3])), 2**63 - 1), s[1], s[2], s[3] >= 64 and s[4] > 1) for j, s in state.items()}
         known = state[next(iter(todo))][3]
         bits = min(64, known + BITS)
         found = rows
         if known:
             found = rows.filter(F.shiftright(key, 64 - known).isin(sorted({state[j][0] >> (64 - known) for j in todo})))
-        cells = found.groupBy((F.shiftright(key, 64 - bits) if bits < 64 else F.col(key)).alias("cell")).agg(F.sum("size").alias("bytes")).collect()
+        cells = found.groupBy((F.shiftright(key, 64 - bits) if bits < 64 else F.col(key)).alias("cell")).agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")).collect()
         cells.sort(key=lambda r: r["cell"])
         for j in todo:
             first, below = state[j][0], state[j][1]
             last = first + (1 << (64 - known)) if known else 2**63
-            own = [(r["cell"] << (64 - bits), r["bytes"]) for r in cells if first <= r["cell"] << (64 - bits) < last]
-            for at, n in own:
-                if below + n >= wanted[j] or at == own[-1][0]:
-                    state[j] = (at, below, n, bits)
+            own = [(r["cell"] << (64 - bits), r["bytes"], r["n"]) for r in cells if first <= r["cell"] << (64 - bits) < last]
+            for at, inside, n in own:
+                if below + inside >= wanted[j] or at == own[-1][0]:
+                    state[j] = (at, below, inside, bits, n)
                     break
-                below += n
+                below += inside
 
 
 def splitters(keys: DataFrame, p: ShardParams) -> list[tuple[int, int]]:
