@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .jaccard import jaccard_join
 from .mixing import mix_sources, word_count
 from .sharding import shard_rows
 
@@ -20,6 +21,11 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(docs, ["doc_id"], word_count(F.col("text")), F.col("source"))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return jaccard_join(docs, "doc_id", "text").select("doc_id", "class_id", "class_size", "n_links", "component_id", "kept")
+
+
 def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     text = F.coalesce("text", F.lit(""))
@@ -29,7 +35,7 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mix": op1_mix, "op10_shard": op10_shard}
+    return {"op1_mix": op1_mix, "op7_ngram_join": op7_ngram_join, "op10_shard": op10_shard}
 
 
 def oracle_sql() -> dict[str, str]:
