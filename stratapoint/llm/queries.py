@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .embeddings import near_vectors
 from .jaccard import jaccard_join
 from .mixing import mix_sources, word_count
+from .quality import QualityParams, fit_quality, score_quality
 from .sharding import shard_rows
+from .toxicity import ToxicParams, fit_grammar, score_toxicity
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +24,30 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(docs, ["doc_id"], word_count(F.col("text")), F.col("source"))
 
 
+def op2_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label")
+
+
+def _fold(k: int):
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % k
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    grammar = fit_grammar(docs, labels, "doc_id", "text", "toxic", _fold(5) != 0)
+    out = score_toxicity(docs, ["doc_id"], "text", grammar)
+    held = F.coalesce(_fold(5) == 0, F.lit(False))
+    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= ToxicParams.threshold).cast("int").alias("predicted"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    model = fit_quality(docs, labels, "doc_id", "text", "quality", _fold(4) != 2)
+    out = score_quality(docs.select("doc_id", "text"), "text", model, "score")
+    held = F.coalesce(_fold(4) == 2, F.lit(False))
+    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= QualityParams.threshold).cast("int").alias("predicted"))
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return jaccard_join(docs, "doc_id", "text").select("doc_id", "class_id", "class_size", "n_links", "component_id", "kept")
@@ -35,7 +62,7 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mix": op1_mix, "op7_ngram_join": op7_ngram_join, "op10_shard": op10_shard}
+    return {"op1_mix": op1_mix, "op2_near_vectors": op2_near_vectors, "op4_toxicity": op4_toxicity, "op5_quality": op5_quality, "op7_ngram_join": op7_ngram_join, "op10_shard": op10_shard}
 
 
 def oracle_sql() -> dict[str, str]:
