@@ -27,7 +27,7 @@ class MixParams:
     share: float = 1.5  # of all words, what the mix takes
     cap: int = 2  # a source gives at most so many times its words
     block_words: int = 1024
-    bucket_rows: int = 8192  # rows that one window orders
+    bucket_rows: int = 1024  # rows that one window orders
     chunk_slots: int = 4096
     seed: int = 42
 
