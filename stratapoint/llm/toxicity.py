@@ -37,8 +37,9 @@ class ToxicParams:
     shortest: int = 3  # letters of a learned word beginning
     longest: int = 7
     support: int = 4  # toxic rows that hold a learned entry, at least
-    odds: float = 2.0  # log odds of a learned entry, at least
-    z: float = 2.5  # and in standard errors
+    odds: float = 3.0  # log odds of a learned entry, at least
+    z: float = 3.0  # and in standard errors
+    explained: float = 0.9  # a word beginning goes if one extension has so large a share of its toxic rows
     entries: int = 20000  # learned entries, at most
     reach: int = 4  # words over which a negation or target acts
     threshold: float = 0.5
@@ -97,18 +98,18 @@ class Grammar:
                     reported = True
                 elif kind == TARGET:
                     targeted = i
-                    for k, at in before:
+                    for k, at, heavy in before:
                         if i - at <= reach:
-                            out[3 if k == INSULT else 5] += 1
+                            out[3 if k == INSULT else 5] += heavy
                 elif kind:
                     near = i - targeted <= reach
                     if kind == THREAT:
                         out[5] += near
                     else:
-                        out[1 if i - negated <= reach else 2 if reported else 0] += 1
-                        out[3] += near
+                        out[1 if i - negated <= reach else 2 if reported else 0] += w
+                        out[3] += w * near
                         out[4] = max(out[4], w)
-                    before.append((kind, i))
+                    before.append((kind, i, w))
                 if s & END:
                     negated = targeted = -reach - 1
                     reported, before = False, []
@@ -169,6 +170,12 @@ def fit_grammar(docs: DataFrame, labels: DataFrame, key: str, text: str, label:
         odds = np.log((a + 0.5) / (n1 - a + 0.5)) - np.log((b + 0.5) / (n0 - b + 0.5))
         if odds >= p.odds and odds / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5)) >= p.z and a > 2 * b * n1 / n0:
             insults[e] = float(odds)
+    longer: dict[str, int] = {}  # the most rows that one extension of a word beginning accounts for
+    for e in insults:
+        for short in entries_of(e.rstrip("*"), p):
+            if short != e and short.endswith("*"):
+                longer[short] = max(longer.get(short, 0), toxic[e])
+    insults = {e: w for e, w in insults.items() if longer.get(e, 0) < p.explained * toxic[e]}
     insults = dict(sorted(insults.items(), key=lambda x: (-toxic[x[0]] * x[1], x[0]))[: p.entries])
     grammar = Grammar(insults, p)
     seen = rows.select("text", "y").mapInArrow(_evidence(grammar), "y int, e array<double>").collect()
