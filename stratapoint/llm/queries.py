@@ -10,9 +10,13 @@ from pyspark.sql import functions as F
 from .embeddings import near_vectors
 from .jaccard import jaccard_join
 from .mixing import mix_sources, word_count
+from .pii import find_pii
 from .quality import QualityParams, fit_quality, score_quality
 from .sharding import shard_rows
 from .toxicity import ToxicParams, fit_grammar, score_toxicity
+from .wordpiece import PieceCounter, count_tokens
+
+VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +57,14 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(docs, "doc_id", "text").select("doc_id", "class_id", "class_size", "n_links", "component_id", "kept")
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(read(spark, sf_dir, "documents"), ["doc_id"], "text")
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(read(spark, sf_dir, "documents"), ["doc_id"], "text", PieceCounter.from_sentencepiece(VOCABULARY))
+
+
 def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     text = F.coalesce("text", F.lit(""))
@@ -62,7 +74,7 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mix": op1_mix, "op2_near_vectors": op2_near_vectors, "op4_toxicity": op4_toxicity, "op5_quality": op5_quality, "op7_ngram_join": op7_ngram_join, "op10_shard": op10_shard}
+    return {"op1_mix": op1_mix, "op2_near_vectors": op2_near_vectors, "op4_toxicity": op4_toxicity, "op5_quality": op5_quality, "op7_ngram_join": op7_ngram_join, "op8_pii": op8_pii, "op9_token_counts": op9_token_counts, "op10_shard": op10_shard}
 
 
 def oracle_sql() -> dict[str, str]:
