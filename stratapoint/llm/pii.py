@@ -143,6 +143,10 @@ def _scan(p: PiiParams):
     return scan
 
 
+def _named(kind: str):
+    return lambda s: F.concat_ws(":", F.lit(kind), s["a"].cast("string"), s["b"].cast("string"))
+
+
 def find_pii(docs: DataFrame, keep: list[str], text: str, p: PiiParams = PiiParams()) -> DataFrame:
     """Kept columns, n_email, n_ip, n_card, n_phone (all spans of a kind), base_sha256 and spans, one row per row of docs.
 
@@ -177,5 +181,6 @@ def find_pii(docs: DataFrame, keep: list[str], text: str, p: PiiParams = PiiPara
     base = F.transform(F.filter("found", lambda o: o["kind"].isNotNull()), lambda o: F.struct(o["kind"].alias("kind"), o["start"].alias("start"), o["stop"].alias("stop")))
     every = rows.join(more, "_row", "left").withColumn("every", F.concat(base, F.coalesce("more", empty)))
     of = lambda k: F.filter("every", lambda s: s["kind"] == k)
-    text_of = F.concat(*[F.transform(F.array_sort(F.transform(of(k), lambda s: F.struct(s["start"].alias("a"), s["stop"].alias("b")))), lambda s, k=k: F.concat_ws(":", F.lit(k), s["a"].cast("string"), s["b"].cast("string"))) for k in KINDS])
+    sorted_of = lambda k: F.array_sort(F.transform(of(k), lambda s: F.struct(s["start"].alias("a"), s["stop"].alias("b"))))
+    text_of = F.concat(*[F.transform(sorted_of(k), _named(k)) for k in KINDS])
     return every.select(*keep, *[F.size(of(k)).cast("long").alias(f"n_{k}") for k in KINDS], "base_sha256", F.array_join(text_of, ",").alias("spans"))
