@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontaminate import contaminated
 from .embeddings import near_vectors
 from .jaccard import jaccard_join
+from .licenses import scan_licenses
 from .mixing import mix_sources, word_count
 from .pii import find_pii
 from .quality import QualityParams, fit_quality, score_quality
@@ -32,6 +34,14 @@ def op2_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label")
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(read(spark, sf_dir, "documents"), ["doc_id"], "text")
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(read(spark, sf_dir, "documents"), ["doc_id"], "text", read(spark, sf_dir, "benchmark"), "item_id", "text")
+
+
 def _fold(k: int):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % k
 
@@ -74,7 +84,7 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mix": op1_mix, "op2_near_vectors": op2_near_vectors, "op4_toxicity": op4_toxicity, "op5_quality": op5_quality, "op7_ngram_join": op7_ngram_join, "op8_pii": op8_pii, "op9_token_counts": op9_token_counts, "op10_shard": op10_shard}
+    return {"op1_mix": op1_mix, "op2_near_vectors": op2_near_vectors, "op3_licenses": op3_licenses, "op4_toxicity": op4_toxicity, "op5_quality": op5_quality, "op6_decontaminate": op6_decontaminate, "op7_ngram_join": op7_ngram_join, "op8_pii": op8_pii, "op9_token_counts": op9_token_counts, "op10_shard": op10_shard}
 
 
 def oracle_sql() -> dict[str, str]:
