@@ -85,13 +85,16 @@ def _tie(p: JaccardParams):
             a, b = [], []
             for i, key in enumerate(keys):
                 if key != node:
-                    node, size = key, 0
+                    node, size, tied = key, 0, np.zeros(p.leaders, np.int64)
                     lead, lead_id = np.zeros((4, sig.shape[1]), np.uint8), np.zeros(4, np.int64)
                 like = (lead[:size] == sig[i]).mean(axis=1) if size else np.zeros(0)
-                for j in np.flatnonzero(like >= near):
-                    if lead_id[j] != uid[i]:
-                        a.append(uid[i])
-                        b.append(lead_id[j])
+                close = np.flatnonzero(like >= near)
+                sets, at = np.unique(tied[close], return_index=True)
+                for j in close[at]:  # one leader of each set that is not tied together yet
+                    a.append(uid[i])
+                    b.append(lead_id[j])
+                if len(sets) > 1:
+                    tied[:size][np.isin(tied[:size], sets)] = sets[0]
                 if size and like.max() >= core:
                     continue
                 if salted[i] or size >= p.leaders:
@@ -100,7 +103,7 @@ def _tie(p: JaccardParams):
                 if size < p.leaders:
                     if size == len(lead):
                         lead, lead_id = np.concatenate([lead, np.zeros_like(lead)]), np.concatenate([lead_id, np.zeros_like(lead_id)])
-                    lead[size], lead_id[size] = sig[i], uid[i]
+                    lead[size], lead_id[size], tied[size] = sig[i], uid[i], sets[0] if len(sets) else size
                     size += 1
             pairs = np.unique(np.array([a, b], np.int64), axis=1) if a else np.zeros((2, 0), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
@@ -217,7 +220,8 @@ def jaccard_join(docs: DataFrame, key: str, text: str, p: JaccardParams = Jaccar
     cand = scratch.save(cand.join(classes.drop("sig"), "uid"))
     blocks = cand.groupBy("cand").agg(F.ceil(F.count(F.lit(1)) / p.block).cast("long").alias("blocks"))
     wanted = cand.join(blocks, "cand").select("uid", "cand", "copies", "rep_key", "rep_hash", "blocks")
-    texts = named.join(wanted, named["key"].eqNullSafe(wanted["rep_key"]) & (named["row_hash"] == wanted["rep_hash"])).select("uid", "cand", "copies", "blocks", "text")
+    # always by a shuffle, so that the cost stays in proportion at every size
+    texts = named.join(wanted.hint("merge"), named["key"].eqNullSafe(wanted["rep_key"]) & (named["row_hash"] == wanted["rep_hash"])).select("uid", "cand", "copies", "blocks", "text")
     sets = texts.mapInArrow(_shingle_sets(p), "uid long, cand long, copies long, blocks long, shingles binary")
     own = F.pmod(F.xxhash64("uid"), "blocks")
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("bi"), F.greatest(o, F.col("own")).alias("bj"), (F.col("own") > o).cast("int").alias("side")))
