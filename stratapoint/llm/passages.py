@@ -7,6 +7,9 @@ needed where a text holds a shingle of an item (a seed), at the start that the s
 place in the item implies; and only in texts that hold enough of the item's
 shingles. Neither step can lose a window that passes the later verification.
 
+The scan uses ``posexplode_outer``: for the inner form the optimizer infers a
+filter on the array's size and computes the whole array again for it, word by word.
+
 Texts are known by a 64-bit hash (``th``), so copies are looked at once after the scan.
 """
 
@@ -60,7 +63,7 @@ def windows(docs: DataFrame, text: Column, items: DataFrame, scratch: Scratch, p
     out = None
     for k in lengths:
         own = small(wanted.filter(F.col("k") == k).select("h"), p)
-        seeds = texts.select("th", grams("w", k).alias("hs")).select("th", F.posexplode("hs").alias("pos", "h")).join(own, "h", "left_semi")
+        seeds = texts.select("th", grams("w", k).alias("hs")).select("th", F.posexplode_outer("hs").alias("pos", "h")).filter("h is not null").join(own, "h", "left_semi")
         seeds = scratch.save(seeds.distinct())
         hits = seeds.join(places.filter(F.col("k") == k), "h").select("th", "item", "m", "pos", (F.col("pos") - F.col("off")).alias("start"))
         enough = hits.groupBy("th", "item", "m").agg(F.countDistinct("pos").alias("n")).filter(F.col("n") >= F.ceil(F.col("m") * p.threshold - 1e-9))
