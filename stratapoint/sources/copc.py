@@ -1,0 +1,129 @@
+"""Clustered-octree LAS files: eager and lazy metadata, query planning, and the page writer.
+
+Only pages that a query may reach are fetched by the lazy reader; chunks are read
+in coalesced ranges. Decompressing chunks needs a LAZ codec.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass, field
+
+from pyspark.sql import DataFrame, SparkSession
+
+from ..model import ENTRY, Bounds, Entry, Info, InvalidData, PointQuery, Unsupported, VoxelKey, unpack_page
+from ..operators.hierarchy import GAP, PAGE_ENTRIES, plan_pages
+from .las import Header, read_header
+
+PAGE_BYTES, ALL_BYTES = 64 << 20, 256 << 20  # fixed values: bytes of one page and of all
+HIERARCHY_SCHEMA = 'level int, kx int, ky int, kz int, `offset` long, byte_size int, point_count int'
+
+
+@dataclass
+class Index:
+    """The node index of one file; pages are loaded by a work list, each at most once."""
+
+    source: object
+    header: Header
+    info: Info
+    entries: dict[VoxelKey, Entry] = field(default_factory=dict)
+    loaded: set[tuple[int, int]] = field(default_factory=set)
+    bytes_read: int = 0
+
+    def load(self, at: int, size: int) -> None:
+        if (at, size) in self.loaded:
+            return
+        if size <= 0 or size % ENTRY.size or size > PAGE_BYTES:
+            raise InvalidData(f"hierarchy page of {size} bytes is not valid")
+        self.bytes_read += size
+        if self.bytes_read > ALL_BYTES:
+            raise InvalidData("hierarchy pages exceed their total limit")
+        if at + size > self.source.size():
+            raise InvalidData(f"hierarchy page at {at} exceeds file length")
+        for e in unpack_page(self.source.read(at, size)):
+            e.kind  # noqa: B018  a count below -1 raises
+            have = self.entries.get(e.key)
+            if e.kind != "page" or have is None or have.kind == "page":
+                self.entries[e.key] = e
+        self.loaded.add((at, size))
+        total = sum(e.point_count for e in self.entries.values() if e.point_count > 0)
+        if total > self.header.points:
+            raise InvalidData(f"hierarchy point total {total} exceeds the header's {self.header.points}")
+
+    def fetch(self, q: PointQuery | None = None) -> None:
+        """Load pages until none that the query may reach is missing; without a query, all."""
+        levels = q.lod.levels(self.info.spacing) if q else None
+        while True:
+            todo = [e for e in self.entries.values() if e.kind == "page" and (e.offset, e.byte_size) not in self.loaded and (q is None or self._reaches(e.key, q.bounds, levels[1]))]
+            if not todo:
+                return
+            for e in todo:
+                self.load(e.offset, e.byte_size)
+
+    def _reaches(self, k: VoxelKey, box: Bounds | None, high: int) -> bool:
+        if min(k.level, k.x, k.y, k.z) < 0:
+            return True
+        return k.level < high and (box is None or k.bounds(self.info.center, self.info.halfsize).intersects(box))
+
+    def chunks(self, q: PointQuery) -> list[Entry]:
+        """The entries a query reads, by offset and key."""
+        self.fetch(q)
+        low, high = q.lod.levels(self.info.spacing)
+        out = []
+        for e in self.entries.values():
+            if e.kind != "points":
+                continue
+            if e.byte_size <= 0:
+                raise InvalidData(f"chunk {e.key} has {e.byte_size} bytes")
+            if low <= e.key.level < high and (q.bounds is None or e.key.bounds(self.info.center, self.info.halfsize).intersects(q.bounds)):
+                out.append(e)
+        return sorted(out, key=lambda e: (e.offset, e.key))
+
+    def reads(self, q: PointQuery, gap: int = GAP) -> list[tuple[int, int, list[Entry]]]:
+        """(start, end, chunks): chunks at most gap bytes apart in one range."""
+        out: list[tuple[int, int, list[Entry]]] = []
+        for e in self.chunks(q):
+            if out and e.offset <= out[-1][1] + gap:
+                out[-1] = (out[-1][0], max(out[-1][1], e.offset + e.byte_size), [*out[-1][2], e])
+            else:
+                out.append((e.offset, e.offset + e.byte_size, [e]))
+        return out
+
+    def frame(self, spark: SparkSession, q: PointQuery | None = None) -> DataFrame:
+        """The loaded index as a DataFrame, in key order."""
+        self.fetch(q)
+        rows = [(e.key.level, e.key.x, e.key.y, e.key.z, e.offset, e.byte_size, e.point_count) for e in sorted(self.entries.values(), key=lambda e: e.key)]
+        return spark.createDataFrame(rows, HIERARCHY_SCHEMA)
+
+    def points(self, *_):
+        raise Unsupported("compressed chunks need a LAZ codec, which is not installed")
+
+
+def open_index(source, eager: bool = True) -> Index:
+    """Header, info and root page; all pages and the record checks when eager."""
+    h = read_header(source)
+    if h.point_format < 6:
+        raise Unsupported(f"column reads need an extended point format, not {h.point_format}")
+    found = {(r.user_id, r.record_id): r for r in h.records}
+    info = found.get(("copc", 1))
+    if info is None or ("laszip encoded", 22204) not in found:
+        raise InvalidData("the info or the compression record is missing")
+    index = Index(source, h, Info.unpack(source.read(info.at, info.size)))
+    if eager:
+        pages = found.get(("copc", 1000))
+        if pages is None or pages.at != index.info.root_offset:
+            raise InvalidData("the info's root offset is not where the hierarchy record begins")
+    index.load(index.info.root_offset, index.info.root_size)
+    if eager:
+        index.fetch()
+    return index
+
+
+def page_bytes(entries: list[Entry], at: int, limit: int = PAGE_ENTRIES) -> tuple[bytes, int]:
+    """The hierarchy of a file that begins at ``at``: pages in plan order with pointers to those below, and the root page's size."""
+    plan = plan_pages(entries, limit)
+    place, where = at, {}
+    for root, own, below in plan:
+        where[root] = (place, ENTRY.size * (len(own) + len(below)))
+        place += where[root][1]
+    out = b"".join(b"".join(e.pack() for e in own) + b"".join(Entry(k, *where[k], -1).pack() for k in below) for _, own, below in plan)
+    return out, where[plan[0][0]][1]
