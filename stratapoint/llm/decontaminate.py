@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .passages import PassageParams, item_shingles, per_document, shared, windows
-from .scratch import Scratch
+from .scratch import Scratch, unpacked
 
 BITS = 64
 
@@ -52,8 +52,8 @@ def contaminated(docs: DataFrame, keep: list[str], text: str, items: DataFrame,
     A document is contaminated if one of its windows, of an item's number of
     shingles, has a weighted Jaccard similarity of the threshold or more with the item. Null
     and empty texts are clean; items without a key or without words match
-    nothing. Repeated rows get equal results. Kept columns may have any names
-    but ``th`` and those of the result.
+    nothing. Repeated rows get equal results. Kept columns named like
+    a result give way to it.
     """
     scratch = Scratch(docs.sparkSession, "decontaminate")
     bench = item_shingles(items, item_key, item_text, scratch, p)
@@ -69,6 +69,6 @@ def contaminated(docs: DataFrame, keep: list[str], text: str, items: DataFrame,
     sizes = wins.select(*key, F.size("hs").alias("n"))
     found = shared(pairs, wins, bench).join(sizes, key).withColumn("sim", F.col("both") / (F.col("n") + F.col("m") - F.col("both")))
     found = found.filter(F.col("sim") >= p.threshold - 1e-12).select("th", "item", "sim")
-    out = per_document(docs, keep, F.col(f"`{text}`"), found, [F.array_sort(F.collect_set("item")).alias("items"), F.max("sim").alias("similarity")])
+    out = per_document(docs, keep, ["contaminated", "n_items", "items", "similarity"], F.col(f"`{text}`"), found, [F.array_sort(F.collect_set("item")).alias("items"), F.max("sim").alias("similarity")])
     none = F.array().cast(out.schema["items"].dataType)
-    return out.select(*[F.col(f"`{c}`") for c in keep], F.col("items").isNotNull().alias("contaminated"), F.coalesce(F.size("items"), F.lit(0)).alias("n_items"), F.coalesce("items", none).alias("items"), F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
+    return unpacked(out, F.col("items").isNotNull().alias("contaminated"), F.coalesce(F.size("items"), F.lit(0)).alias("n_items"), F.coalesce("items", none).alias("items"), F.coalesce("similarity", F.lit(0.0)).alias("similarity"))

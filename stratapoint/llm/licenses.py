@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .passages import PassageParams, item_shingles, per_document, shared, windows
-from .scratch import Scratch
+from .scratch import Scratch, unpacked
 
 # fixed values: the wording of public license notices
 TEMPLATES = {
@@ -49,7 +49,7 @@ def scan_licenses(docs: DataFrame, keep: list[str], text: str, templates: dict[s
 
     A template counts where a window holds the threshold's share of its
     distinct shingles. Null and empty texts have no license. Repeated rows get
-    equal results. Kept columns may have any names but ``th`` and those of the result.
+    equal results. Kept columns named like a result give way to it.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "licenses")
@@ -61,5 +61,5 @@ def scan_licenses(docs: DataFrame, keep: list[str], text: str, templates: dict[s
     size = known.select("item", F.size(F.array_distinct("hs")).alias("all"))
     found = shared(pairs, wins, known).join(size, "item").filter(F.col("held") >= p.threshold * F.col("all") - 1e-9)
     found = found.select("th", F.split_part("item", F.lit("#"), F.lit(1)).alias("license"), F.greatest("start", F.lit(0)).alias("start"))
-    out = per_document(docs, keep, F.col(f"`{text}`"), found, [F.array_sort(F.collect_set("license")).alias("licenses"), F.array_sort(F.collect_set(F.struct("start", "license"))).alias("starts")])
-    return out.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.size("licenses"), F.lit(0)).alias("n_licenses"), F.coalesce("licenses", F.array().cast("array<string>")).alias("licenses"), F.coalesce("starts", F.array().cast("array<struct<start:int,license:string>>")).alias("starts"))
+    out = per_document(docs, keep, ["n_licenses", "licenses", "starts"], F.col(f"`{text}`"), found, [F.array_sort(F.collect_set("license")).alias("licenses"), F.array_sort(F.collect_set(F.struct("start", "license"))).alias("starts")])
+    return unpacked(out, F.coalesce(F.size("licenses"), F.lit(0)).alias("n_licenses"), F.coalesce("licenses", F.array().cast("array<string>")).alias("licenses"), F.coalesce("starts", F.array().cast("array<struct<start:int,license:string>>")).alias("starts"))

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from .scratch import Scratch, packed
 
 
 @dataclass(frozen=True)
@@ -87,8 +87,7 @@ def shared(pairs: DataFrame, wins: DataFrame, items: DataFrame) -> DataFrame:
     return left.join(right, ["item", "k", "m", "h"]).groupBy(*key, "item").agg(F.sum(F.least("a", "b")).alias("both"), F.count(F.lit(1)).alias("held"))
 
 
-def per_document(docs: DataFrame, keep: list[str], text: Column, matches: DataFrame, aggregates: list[Column]) -> DataFrame:
-    """Kept columns of every row with the aggregates over its text's matches (null where there are none)."""
+def per_document(docs: DataFrame, keep: list[str], results: list[str], text: Column, matches: DataFrame, aggregates: list[Column]) -> DataFrame:
+    """Kept columns of every row, packed, with the aggregates over its text's matches (null where there are none)."""
     found = matches.groupBy("th").agg(*aggregates)
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.xxhash64(F.coalesce(text, F.lit(""))).alias("th"))
-    return rows.join(found, "th", "left").drop("th")
+    return packed(docs, keep, results, th=F.xxhash64(F.coalesce(text, F.lit("")))).join(found, "th", "left")

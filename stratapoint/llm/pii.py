@@ -19,8 +19,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .scratch import Scratch
+from .scratch import Scratch, extended, packed, unpacked
 from .shingles import slices
 
 KINDS = ("email", "ip", "card", "phone")
@@ -152,14 +153,13 @@ def find_pii(docs: DataFrame, keep: list[str], text: str, p: PiiParams = PiiPara
 
     Null and empty texts have no spans. Repeated rows are separate rows and each
     has its spans; an instance counts once for a pattern however often
-    it occurs. No documents: no rows. Kept columns may have any names but those of the result.
+    it occurs. No documents: no rows. Kept columns named like a result give way to it.
     """
     spark = docs.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     scratch = Scratch(spark, "pii")
-    rows = docs.select(*keep, F.col(text).alias("text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    rows = rows.mapInArrow(_scan(p), f"{schema}, base string, base_sha256 string, found {OCCURRENCE}")
+    rows = packed(docs, keep, [*[f"n_{k}" for k in KINDS], "base_sha256", "spans"], text=F.col(f"`{text}`"))
+    rows = rows.mapInArrow(_scan(p), extended(rows, ["text"], base=T.StringType(), base_sha256=T.StringType(), found=T.DataType.fromDDL(OCCURRENCE)))
     rows = scratch.save(rows.withColumn("_row", F.monotonically_increasing_id()))
     seen = rows.select("_row", F.explode("found").alias("o")).select("_row", "o.*")
     edges = scratch.save(seen.select("instance", "kind", "possible", F.explode("patterns").alias("pattern")).groupBy("pattern", "instance").agg(F.max("kind").alias("kind"), F.first("possible").alias("possible")))
@@ -183,4 +183,4 @@ def find_pii(docs: DataFrame, keep: list[str], text: str, p: PiiParams = PiiPara
     of = lambda k: F.filter("every", lambda s: s["kind"] == k)
     sorted_of = lambda k: F.array_sort(F.transform(of(k), lambda s: F.struct(s["start"].alias("a"), s["stop"].alias("b"))))
     text_of = F.concat(*[F.transform(sorted_of(k), _named(k)) for k in KINDS])
-    return every.select(*keep, *[F.size(of(k)).cast("long").alias(f"n_{k}") for k in KINDS], "base_sha256", F.array_join(text_of, ",").alias("spans"))
+    return unpacked(every, *[F.size(of(k)).cast("long").alias(f"n_{k}") for k in KINDS], "base_sha256", F.array_join(text_of, ",").alias("spans"))

@@ -1,58 +1,32 @@
-"""Intermediate tables in the cluster's shared checkpoint folder.
-
-Lineage is cut by writing Parquet below ``spark.checkpoint.dir`` (the folder all
-executors share), so a lost executor costs a re-read and never a re-computation
-of an earlier iteration. Parquet also gives later joins a true size.
-"""
+"""Scratch tables (shared with the rest of the library) and the handling of callers' columns."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder; a local one is set only where the session names none (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = found.get() if found.isDefined() else None
-    if not root:
-        root = f"file://{tempfile.mkdtemp(prefix='stratapoint-')}"
-        spark.sparkContext.setCheckpointDir(root)
-        root = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return root
-
-
-class Scratch:
-    """Tables of one operator run; those not dropped go when the session's JVM ends."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.base = f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-        self._n = 0
-        path = spark._jvm.org.apache.hadoop.fs.Path(self.base)
-        self._fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-        self._fs.deleteOnExit(path)
-
-    def save(self, df: DataFrame) -> DataFrame:
-        """Write df once and give back a DataFrame that reads what was written."""
-        self._n += 1
-        path = f"{self.base}/{self._n}"
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._scratch_path = path
-        return out
-
-    def drop(self, df: DataFrame) -> None:
-        """Delete a saved table that no later plan reads."""
-        path = getattr(df, "_scratch_path", None)
-        if path:
-            self._fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(path), True)
-
-
-def spread(spark: SparkSession) -> int:
-    """How many shuffle partitions the session asks for."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..operators.scratch import Scratch, checkpoint_root, spread
+
+__all__ = ["Scratch", "checkpoint_root", "extended", "packed", "spread", "unpacked"]
+
+
+def packed(docs: DataFrame, keep: list[str], results: list[str], **named) -> DataFrame:
+    """Kept columns as one struct ``_keep``, beside named columns, so that no name of the caller's meets one of ours.
+
+    A kept column with the name of a result is left out: the result takes its place.
+    """
+    taken = {r.lower() for r in results}
+    own = [F.col(f"`{c}`") for c in keep if c.lower() not in taken]
+    return docs.select(F.struct(*own if own else [F.lit(None).cast("int").alias("_none")]).alias("_keep"), *[c.alias(n) for n, c in named.items()])
+
+
+def unpacked(df: DataFrame, *results) -> DataFrame:
+    """The kept columns again, with the results."""
+    own = [F.col("_keep")[c].alias(c) for c in df.schema["_keep"].dataType.names if c != "_none"]
+    return df.select(*own, *results)
+
+
+def extended(df: DataFrame, drop: list[str], **more: T.DataType) -> T.StructType:
+    """df's schema without some columns and with more."""
+    return T.StructType([f for f in df.schema.fields if f.name not in drop] + [T.StructField(n, t) for n, t in more.items()])

@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .prefix import bucket_offsets
-from .scratch import Scratch
+from .scratch import Scratch, packed, unpacked
 
 BITS = 12
 LOWEST = -(2**63)
@@ -84,11 +84,12 @@ def shard_rows(rows: DataFrame, text: Column, ident: list[str], size: Column, p:
 
     Shards hold nearly equal bytes. Rows with equal texts share a shard unless
     their group alone exceeds the slack. Null texts count as empty ones. Repeated
-    rows are separate rows. No rows: no rows. Columns of the caller may have any
-    names but k1, k2, size, shard, slot and those that begin with an underscore.
+    rows are separate rows. No rows: no rows. Columns of the caller named size,
+    shard or slot give way to the results.
     """
     scratch = Scratch(rows.sparkSession, "shard")
-    keyed = rows.withColumns({"size": size, "k1": F.xxhash64(F.coalesce(text, F.lit(""))), "k2": F.xxhash64(F.monotonically_increasing_id(), *ident)})
+    k2 = F.xxhash64(F.monotonically_increasing_id(), *[F.col(f"`{c}`") for c in ident])
+    keyed = packed(rows, rows.columns, ["size", "shard", "slot"], size=size, k1=F.xxhash64(F.coalesce(text, F.lit(""))), k2=k2)
     keyed = scratch.save(keyed)  # freezes the row numbers that tell repeated rows apart
     bounds = splitters(keyed.select("k1", "k2", "size"), p)
     above = [((F.col("k1") > a) | ((F.col("k1") == a) & (F.col("k2") >= b))).cast("int") for a, b in bounds]
@@ -96,4 +97,4 @@ def shard_rows(rows: DataFrame, text: Column, ident: list[str], size: Column, p:
     dealt = keyed.withColumns({"shard": reduce(lambda x, y: x + y, above, F.lit(0)), "_sub": F.pmod("k2", F.lit(n))})
     before = bucket_offsets(dealt.groupBy("shard", "_sub").agg(F.count(F.lit(1)).alias("n")), ["shard"], "_sub", {"n": "_n0"})
     slot = F.row_number().over(W.partitionBy("shard", "_sub").orderBy("k2", "k1")) - 1 + F.col("_n0")
-    return dealt.join(before, ["shard", "_sub"]).withColumn("slot", slot.cast("long")).drop("_sub", "_n0", "k1", "k2")
+    return unpacked(dealt.join(before, ["shard", "_sub"]).withColumn("slot", slot.cast("long")), "size", "shard", "slot")

@@ -18,7 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from .scratch import extended, packed, unpacked
 from .shingles import per_text, shingled, slices
 
 # fixed values: function words of the grammar in the corpus's languages
@@ -209,14 +211,13 @@ def _evidence(grammar: Grammar):
 
 
 def score_toxicity(docs: DataFrame, keep: list[str], text: str, grammar: Grammar) -> DataFrame:
-    """Kept columns, score (0 to 1) and the evidence found in every whole text; null texts are empty ones. Kept columns may have any names but text, score and evidence."""
+    """Kept columns, score (0 to 1) and the evidence found in every whole text; null texts are empty ones. Kept columns named like a result give way to it."""
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             e = [grammar.evidence(t or "") for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([grammar.score(x) for x in e], pa.float64()), pa.array(e, pa.list_(pa.float64()))], names=[*keep, "score", "evidence"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([grammar.score(x) for x in e], pa.float64()), pa.array(e, pa.list_(pa.float64()))], names=[*batch.schema.names[:-1], "score", "evidence"])
 
-    rows = docs.select(*keep, F.col(text).alias("text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(score, f"{schema}, score double, evidence array<double>")
+    rows = packed(docs, keep, ["score", "evidence"], text=F.col(f"`{text}`"))
+    return unpacked(rows.mapInArrow(score, extended(rows, ["text"], score=T.DoubleType(), evidence=T.ArrayType(T.DoubleType()))), "score", "evidence")

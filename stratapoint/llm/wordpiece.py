@@ -16,7 +16,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from .scratch import extended, packed, unpacked
 from .shingles import slices
 
 BEGIN, INNER = 0, 1  # the two roots: of a word, and of what follows its first piece
@@ -123,7 +125,7 @@ def count_tokens(docs: DataFrame, keep: list[str], text: str, counter: PieceCoun
 
     Words are runs of characters other than Unicode white space; a word without
     a full match is one unknown token. Null, empty and white texts count 0. One row
-    per row, repeated or not. Kept columns may have any names but those of the result and ``text``.
+    per row, repeated or not. Kept columns named like a result give way to it.
     """
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
@@ -132,6 +134,6 @@ def count_tokens(docs: DataFrame, keep: list[str], text: str, counter: PieceCoun
             got = [counter.text(t) for t in pc.fill_null(batch.column("text"), "").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *[pa.array([g[i] for g in got], pa.int64()) for i in range(3)]], names=[*batch.schema.names[:-1], "n_words", "n_unknown", "n_tokens"])
 
-    rows = docs.select(*keep, F.col(text).alias("text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(count, f"{schema}, n_words long, n_unknown long, n_tokens long")
+    results = ["n_words", "n_unknown", "n_tokens"]
+    rows = packed(docs, keep, results, text=F.col(f"`{text}`"))
+    return unpacked(rows.mapInArrow(count, extended(rows, ["text"], **dict.fromkeys(results, T.LongType()))), *results)
