@@ -16,7 +16,7 @@ from stratapoint.llm.decontaminate import contaminated
 from stratapoint.llm.jaccard import jaccard_join
 from stratapoint.llm.mixing import mix_sources, word_count
 from stratapoint.llm.quality import QualityParams, fit_quality, score_quality
-from stratapoint.llm.scratch import Scratch
+from stratapoint.llm.scratch import Scratch, packed, unpacked
 from stratapoint.llm.sharding import shard_rows
 
 ORACLE_SQL = None  # fitted models and hashing: tests compare the stages with brute force
@@ -31,37 +31,39 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
     model = fit_quality(docs, labels, "doc_id", "text", "quality", fold != 2)
-    return score_quality(docs, "text", model, "_score").filter(F.col("_score") >= QualityParams.threshold).drop("_score")
+    rows = packed(docs, docs.columns, [], text=F.col("text"))
+    return unpacked(score_quality(rows, "text", model, "score").filter(F.col("score") >= QualityParams.threshold))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the least doc_id of each group of linked documents, once; documents without words stay."""
     found = jaccard_join(docs, "doc_id", "text")
     kept = found.filter("kept").select(F.col("row_hash").alias("_hash")).distinct()
-    rows = docs.withColumn("_hash", _row_hash(docs)).join(kept.hint("merge"), "_hash")
+    rows = packed(docs, docs.columns, [], _hash=_row_hash(docs)).join(kept.hint("merge"), "_hash")
     first = F.row_number().over(W.partitionBy("_hash").orderBy(F.lit(1)))
-    return rows.withColumn("_n", first).filter("_n = 1").select(*docs.columns)
+    return unpacked(rows.withColumn("_n", first).filter("_n = 1"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold an item of the benchmark."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return contaminated(docs, docs.columns, "text", items, "item_id", "text").filter("not contaminated").select(*docs.columns)
+    rows = packed(docs, docs.columns, [], text=F.col("text"))
+    return unpacked(contaminated(rows, ["_keep"], "text", items, "item_id", "text").filter("not contaminated"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats or drops documents as their source's target asks: a document is there once for each pass that takes more than half of its words."""
-    keyed = docs.withColumn("row_hash", _row_hash(docs))
+    keyed = packed(docs, docs.columns, [], row_hash=_row_hash(docs), text=F.col("text"), source=F.col("source"))
     taken = mix_sources(keyed, ["row_hash"], word_count(F.col("text")), F.col("source"))
     copies = taken.groupBy("row_hash").agg(F.round(F.avg("copies")).cast("int").alias("_copies")).filter("_copies > 0")
-    rows = keyed.join(copies.hint("merge"), "row_hash")
-    return rows.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    rows = keyed.drop("text", "source").join(copies.hint("merge"), "row_hash")
+    return unpacked(rows.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_copies")))))
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The columns of documents with size (bytes and one), shard (0 to 15) and slot."""
+    """The columns of documents with size (bytes and one), shard (0 to 15) and slot; columns of these names give way."""
     size = F.octet_length(F.coalesce("text", F.lit(""))).cast("long") + 1
-    return shard_rows(docs, F.col("text"), ["doc_id"], size).select(*docs.columns, "size", "shard", "slot")
+    return shard_rows(docs, F.col("text"), ["doc_id"], size)
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate), ("mix", mix), ("shard", shard)]
