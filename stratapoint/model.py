@@ -6,9 +6,26 @@ import math
 import struct
 from dataclasses import dataclass, field
 
+@dataclass(frozen=True)
+class Form:
+    """A binary layout that can be sent to executors, which ``struct.Struct`` cannot."""
+
+    text: str
+
+    @property
+    def size(self) -> int:
+        return struct.calcsize(self.text)
+
+    def pack(self, *values) -> bytes:
+        return struct.pack(self.text, *values)
+
+    def unpack_from(self, raw: bytes, at: int = 0) -> tuple:
+        return struct.unpack_from(self.text, raw, at)
+
+
 MAX_LEVEL = 30  # fixed value: deepest octree level
-ENTRY = struct.Struct("<4iQ2i")  # fixed format: level, x, y, z, offset, byte size, point count
-INFO = struct.Struct("<5d2Q2d88x")  # fixed format: 160 bytes with a reserved tail
+ENTRY = Form("<4iQ2i")  # fixed format: level, x, y, z, offset, byte size, point count
+INFO = Form("<5d2Q2d88x")  # fixed format: 160 bytes with a reserved tail
 
 
 class CloudError(Exception):

@@ -19,12 +19,12 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql import types as T
 
 from ..functions.schema import BASE_LENGTH, FORMATS, layout, schema_for_format
-from ..model import InvalidData, LasError, Unsupported
+from ..model import Form, InvalidData, LasError, Unsupported
 from .ranges import ranges_of
 
 HEADER = 375  # fixed value: bytes of a version 1.4 header
 MOST_RECORDS = 4096  # fixed value: VLRs or EVLRs of a file
-VLR, EVLR = struct.Struct("<2x16sHH32s"), struct.Struct("<2x16sHQ32s")
+VLR, EVLR = Form("<2x16sHH32s"), Form("<2x16sHQ32s")
 
 
 def text_of(raw: bytes) -> str:
@@ -113,7 +113,7 @@ def walk_records(source, h: Header, length: int, extended: bool) -> list[Record]
     for _ in range(n):
         if at + form.size > last:
             raise InvalidData(f"record header at {at} exceeds file length {last}")
-        user, number, size, text = form.unpack(source.read(at, form.size))
+        user, number, size, text = form.unpack_from(source.read(at, form.size))
         at += form.size
         if at + size > last:
             raise InvalidData(f"record of {size} bytes at {at} exceeds file length {last}")
