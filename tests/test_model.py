@@ -6,7 +6,7 @@ import pytest
 from stratapoint.functions.schema import FORMATS, layout, projected, schema_for_format, selection
 from stratapoint.model import INFO, Bounds, Entry, Info, InvalidData, InvalidInput, Lod, VoxelKey, unpack_page
 from stratapoint.operators.hierarchy import plan_pages
-from stratapoint.sources.copc import page_bytes
+from stratapoint.sources.clustered import page_bytes
 
 
 def test_boxes_are_closed_and_nan_is_outside():

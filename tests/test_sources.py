@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from stratapoint.model import Bounds, Entry, Info, InvalidData, Lod, PointQuery, Unsupported, VoxelKey
-from stratapoint.sources.copc import open_index
+from stratapoint.sources.clustered import open_index
 from stratapoint.sources.las import EVLR, LasSource, convert_las, padded, read_header, write_las
 from stratapoint.sources.ranges import BytesRanges, CountedRanges, FileRanges, HttpRanges
 
