@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from stratapoint.llm import embeddings, jaccard, pii, quality, toxicity, wordpiece
+from stratapoint.llm import embeddings, jaccard, pii, quality, queries, toxicity, wordpiece
 from stratapoint.llm.shingles import shingled, slices
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -60,6 +60,40 @@ def test_piece_counts_agree_with_a_public_word_piece_model():
             assert counter.count(w) == (-1 if want == ["[UNK]"] else len(want))
 
 
+def plain_pieces(word, pieces, spelled):
+    """Greedy longest match over the space mark and a word; a character that no piece begins with is its bytes, or -1."""
+    t, n = "▁" + word, 0
+    longest = max(map(len, pieces))
+    while t:
+        k = next((k for k in range(min(longest, len(t)), 0, -1) if t[:k] in pieces), 0)
+        if not k and not spelled:
+            return -1
+        n += 1 if k else len(t[0].encode())
+        t = t[k or 1 :]
+    return n
+
+
+def test_whole_pieces_cover_words_by_the_space_mark_and_bytes():
+    rng = random.Random(12)
+    for trial in range(200):
+        pieces = {"".join(rng.choice("▁abñ中") for _ in range(rng.randrange(1, 5))) for _ in range(rng.randrange(1, 12))}
+        counter = wordpiece.PieceCounter.whole(pieces, trial % 2 == 0)
+        for _ in range(60):
+            w = "".join(rng.choice("▁abñ中😀") for _ in range(rng.randrange(1, 14)))
+            assert counter.count(w) == plain_pieces(w, pieces, trial % 2 == 0), (pieces, w)
+    counter = wordpiece.PieceCounter.whole({"▁", "▁a", "ñ", "and", "ú"}, True)
+    assert counter.text("ñandú añ 😀") == (3, 0, 4 + 2 + 5)
+
+
+def test_counts_of_the_registered_vocabulary_are_those_of_its_pieces():
+    sentencepiece = pytest.importorskip("sentencepiece")
+    model = sentencepiece.SentencePieceProcessor(model_file=queries.VOCABULARY)
+    pieces = {model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))}
+    counter = wordpiece.PieceCounter.from_sentencepiece(queries.VOCABULARY)
+    for w in ("año", "ñandú", "ça", "être", "Übermäßig", "今天天气很好我们去公园散步", "ｆｕｌｌ", "😀x", "<0x0A>", "plain"):
+        assert counter.count(w) == plain_pieces(w, pieces, True), w
+
+
 def test_shingles_agree_with_sets_of_words():
     rng = random.Random(3)
     texts = [" ".join(rng.choice("abcd") for _ in range(rng.randrange(14))) for _ in range(300)] + [None, "", " \n ", "A b", "a B"]
