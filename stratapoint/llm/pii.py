@@ -2,10 +2,13 @@
 
 Base entities of four kinds come from fixed patterns over the whole text. They seed a
 pattern-instance graph: a pattern is the word to the left, the word to the right, or both,
-of an identifier-like token; an instance is a base entity or another token with digits or
-an at sign. Spark scores patterns by the share of their instances that are known to be of a kind,
-and instances by their best pattern, round by round; what a high-confidence
+of an identifier-like candidate; an instance is a base entity, another token with digits or
+an at sign, or a run of digit groups that blanks, dots, hyphens and brackets join.
+Spark scores patterns by the share of their instances that are known to be of a kind,
+and instances by their best pattern, round by round until a round adds none; what a high-confidence
 pattern points at becomes a span of that kind and a seed of the next round.
+A part of a run is a candidate too, but doesn't count for a pattern's score;
+of overlapping spans found so the first and longest stays.
 """
 
 from __future__ import annotations
@@ -33,6 +36,8 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGITS = re.compile(r"[0-9]")
 TOKEN = re.compile(r"\S*[0-9@]\S*")
+GROUP = re.compile(r"\+?\(?[0-9][0-9().-]*+")
+BLANKS = " \xa0\u202f"
 EDGE = re.compile(r"^\W+|\W+$")
 LUHN = [[int(c) for c in "0123456789"], [int(c) for c in "0246813579"]]
 
@@ -41,8 +46,7 @@ LUHN = [[int(c) for c in "0123456789"], [int(c) for c in "0246813579"]]
 class PiiParams:
     support: int = 8  # distinct known instances of a pattern, at least
     confidence: float = 0.9
-    rounds: int = 2
-    longest: int = 64  # characters of a discovered token
+    longest: int = 64  # characters of a discovered span
 
 
 def luhn(digits: str) -> bool:
@@ -98,22 +102,67 @@ def _word(text: str, at: int, step: int) -> str:
     return EDGE.sub("", words[-1 if step < 0 else 0].lower()) if words else ""
 
 
+def _trimmed(text: str, a: int, b: int) -> tuple[int, int]:
+    """A run without brackets that open or close nothing in it, or that hold all of it."""
+    x = text[a:b]
+    if x[0] == "(" and x.find(")") in (-1, len(x) - 1):
+        a += 1
+    if x[-1] == ")" and "(" not in text[a:b]:
+        b -= len(x) - len(x.rstrip(")"))
+    return a, b
+
+
+def _runs(text: str, taken: list[tuple[int, int]], p: PiiParams) -> list[tuple[int, int, list[str], bool]]:
+    """(start, end, possible kinds, whole) of runs of two or more digit groups with blanks between them, outside the base spans, and of the runs' parts."""
+    runs, end, i = [], -1, 0  # end: of the group before, if a run may go on there
+    for m in GROUP.finditer(text):
+        a, b = m.start(), m.start() + len(m[0].rstrip(".-("))
+        while i < len(taken) and taken[i][1] <= a:
+            i += 1
+        around = text[a - 1 : a] + text[b : b + 1]
+        if i < len(taken) and taken[i][0] < b or any(c.isalnum() or c in "_@" for c in around):
+            end = -1
+            continue
+        gap = text[end:a] if end >= 0 else ""
+        if not gap or gap.strip(BLANKS + "().-") or not any(c in BLANKS for c in gap):
+            runs.append([])
+        runs[-1].append((a, b, len(DIGITS.findall(m[0]))))
+        end = b
+    out = []
+    for run in runs:
+        for first in range(len(run) - 1):
+            digits = run[first][2]
+            for last in range(first + 1, len(run)):
+                digits += run[last][2]
+                a, b = _trimmed(text, run[first][0], run[last][1])
+                if digits > 19 or b - a > p.longest:
+                    break
+                kinds = ["card"] * (digits >= 12) + ["phone"] * (7 <= digits <= 15)
+                if kinds:
+                    out.append((a, b, kinds, last - first == len(run) - 1))
+    return out
+
+
 def _occurrences(text: str, base: list[tuple[str, int, int]], p: PiiParams) -> list[tuple]:
-    """(kind or None, start, end, surface, possible kinds, left word, right word) of base spans and of other identifier-like tokens."""
-    out = [(k, a, b, text[a:b], [k], _word(text, a, -1), _word(text, b, 1)) for k, a, b in base]
+    """(kind or None, start, end, surface, possible kinds, left word, right word, main) of base spans and of other identifier-like tokens and runs; parts of a run aren't main."""
+    out = [(k, a, b, text[a:b], [k], _word(text, a, -1), _word(text, b, 1), True) for k, a, b in base]
     taken = sorted((a, b) for _, a, b in base)
-    i = 0
+    runs = _runs(text, taken, p)
+    out += [(None, a, b, text[a:b], kinds, _word(text, a, -1), _word(text, b, 1), whole) for a, b, kinds, whole in runs]
+    whole = [(a, b) for a, b, _, w in runs if w]
+    i = j = 0
     for m in TOKEN.finditer(text):
         a, b = m.span()
         word = m[0]
-        if b - a > p.longest:
-            continue
         a, b = a + len(word) - len(word.lstrip("\"'([{<,;:")), b - (len(word) - len(word.rstrip("\"')]}>,;:.!?")))
         while i < len(taken) and taken[i][1] <= a:
             i += 1
-        if a >= b or i < len(taken) and taken[i][0] < b:
+        if a >= b or b - a > p.longest or i < len(taken) and taken[i][0] < b:
             continue
-        out.append((None, a, b, text[a:b], possible(text[a:b]), _word(text, a, -1), _word(text, b, 1)))
+        while j < len(whole) and whole[j][1] <= a:
+            j += 1
+        main = j == len(whole) or whole[j][0] >= b
+        out.append((None, a, b, text[a:b], possible(text[a:b]), _word(text, a, -1), _word(text, b, 1), main))
     return out
 
 
@@ -121,8 +170,8 @@ def _hash(x: str) -> int:
     return int.from_bytes(hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-OCCURRENCE = "array<struct<kind:string,start:int,stop:int,instance:long,possible:array<string>,patterns:array<long>>>"
-_OCCURRENCE = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32()), ("instance", pa.int64()), ("possible", pa.list_(pa.string())), ("patterns", pa.list_(pa.int64()))]))
+OCCURRENCE = "array<struct<kind:string,start:int,stop:int,instance:long,possible:array<string>,patterns:array<long>,main:boolean>>"
+_OCCURRENCE = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32()), ("instance", pa.int64()), ("possible", pa.list_(pa.string())), ("patterns", pa.list_(pa.int64())), ("main", pa.bool_())]))
 
 
 def _scan(p: PiiParams):
@@ -136,14 +185,28 @@ def _scan(p: PiiParams):
                 hashes.append(hashlib.sha256(bases[-1].encode()).hexdigest())
                 found.append([
                     {"kind": k, "start": a, "stop": b, "instance": _hash(s), "possible": kinds,
-                     "patterns": [_hash(x) for x in ([f"L {lw}"] if lw else []) + ([f"R {rw}"] if rw else []) + ([f"B {lw} {rw}"] if lw and rw else [])]}
-                    for k, a, b, s, kinds, lw, rw in _occurrences(text, base, p)
+                     "patterns": [_hash(x) for x in ([f"L {lw}"] if lw else []) + ([f"R {rw}"] if rw else []) + ([f"B {lw} {rw}"] if lw and rw else [])], "main": main}
+                    for k, a, b, s, kinds, lw, rw, main in _occurrences(text, base, p)
                 ])
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(bases), pa.array(hashes), pa.array(found, _OCCURRENCE)], names=[*batch.schema.names[:-1], "base", "base_sha256", "found"])
 
     return scan
 
 
+def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first and longest of overlapping spans of a row."""
+    for batch in batches:
+        out = []
+        for spans in batch.column("more").to_pylist():
+            kept, end = [], 0
+            for s in sorted(spans, key=lambda s: (s["start"], -s["stop"])):
+                if s["start"] >= end:
+                    kept.append(s)
+                    end = s["stop"]
+            out.append(kept)
+        yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(out, batch.schema.field("more").type)], names=["_row", "more"])
+
+
 def _named(kind: str):
     return lambda s: F.concat_ws(":", F.lit(kind), s["a"].cast("string"), s["b"].cast("string"))
 
@@ -162,21 +225,22 @@ def find_pii(docs: DataFrame, keep: list[str], text: str, p: PiiParams = PiiPara
     rows = rows.mapInArrow(_scan(p), extended(rows, ["text"], base=T.StringType(), base_sha256=T.StringType(), found=T.DataType.fromDDL(OCCURRENCE)))
     rows = scratch.save(rows.withColumn("_row", F.monotonically_increasing_id()))
     seen = rows.select("_row", F.explode("found").alias("o")).select("_row", "o.*")
-    edges = scratch.save(seen.select("instance", "kind", "possible", F.explode("patterns").alias("pattern")).groupBy("pattern", "instance").agg(F.max("kind").alias("kind"), F.first("possible").alias("possible")))
+    edges = scratch.save(seen.select("instance", "kind", "possible", "main", F.explode("patterns").alias("pattern")).groupBy("pattern", "instance").agg(F.max("kind").alias("kind"), F.first("possible").alias("possible"), F.max("main").alias("main")))
     known = edges.filter("kind is not null").select("instance", "kind").distinct()
-    labels = known
-    for _ in range(p.rounds):
-        labels = scratch.save(labels)
+    labels = scratch.save(known)
+    while True:
         tagged = edges.drop("kind").join(labels, "instance", "left")
-        counts = tagged.groupBy("pattern").agg(F.countDistinct("instance").alias("all"), *[F.count(F.when(F.col("kind") == k, 1)).alias(k) for k in KINDS])
+        counts = tagged.filter("main").groupBy("pattern").agg(F.countDistinct("instance").alias("all"), *[F.count(F.when(F.col("kind") == k, 1)).alias(k) for k in KINDS])
         best = F.array_max(F.array(*[F.struct(F.col(k).alias("n"), F.lit(k).alias("kind")) for k in KINDS]))
         strong = counts.withColumn("best", best).filter((F.col("best.n") >= p.support) & (F.col("best.n") >= p.confidence * F.col("all"))).select("pattern", F.col("best.kind").alias("as"), (F.col("best.n") / F.col("all")).alias("score"))
         new = tagged.filter("kind is null").join(strong, "pattern").filter(F.array_contains("possible", F.col("as")))
-        new = new.groupBy("instance").agg(F.max_by("as", F.struct("score", "as")).alias("kind"))
-        labels = labels.unionByName(new)
+        new = scratch.save(new.groupBy("instance").agg(F.max_by("as", F.struct("score", "as")).alias("kind")))
+        if new.isEmpty():
+            break
+        labels = scratch.save(labels.unionByName(new))
     added = labels.join(known.select("instance"), "instance", "left_anti").dropDuplicates(["instance"])
     spans = seen.filter("kind is null").select("_row", "instance", "start", "stop").join(added, "instance")
-    more = spans.groupBy("_row").agg(F.collect_list(F.struct("kind", "start", "stop")).alias("more"))
+    more = spans.groupBy("_row").agg(F.collect_list(F.struct("kind", "start", "stop")).alias("more")).mapInArrow(_apart, "_row long, more array<struct<kind:string,start:int,stop:int>>")
     empty = F.array().cast("array<struct<kind:string,start:int,stop:int>>")
     base = F.transform(F.filter("found", lambda o: o["kind"].isNotNull()), lambda o: F.struct(o["kind"].alias("kind"), o["start"].alias("start"), o["stop"].alias("stop")))
     every = rows.join(more, "_row", "left").withColumn("every", F.concat(base, F.coalesce("more", empty)))

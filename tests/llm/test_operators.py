@@ -177,6 +177,33 @@ def test_pii(spark):
     assert next(r for r in got if r["doc_id"] == 2000)["n_phone"] == 1  # found by its context alone
 
 
+def test_pii_of_runs_edges_and_rounds(spark):
+    texts = [f"{prose(3)} hotline +1 (555) 010-{i:04d} ok" for i in range(80)]
+    found = {
+        "dial hotline 555 0199 1234 x": ["555 0199 1234"],
+        "dial hotline (555) 0199-1235, x": ["(555) 0199-1235"],
+        "dial hotline 555 - 0199 - 1236 x": ["555 - 0199 - 1236"],
+        "dial hotline 5550199123 x hotline 555 0199 77": ["5550199123", "555 0199 77"],
+        "dial hotline 555 0199 1237 2024-01-05 17 x": ["555 0199 1237"],  # the whole run has too many digits
+        "dial hotline 5550199124" + "]" * 70 + " x": ["5550199124"],
+    }
+    texts += found
+    # each step names the next: hotline, then alpha, beta and gamma by numbers known from the step before
+    chain = ["hotline", "alpha", "beta", "gamma", "delta"]
+    for k, (cue, after) in enumerate(zip(chain, chain[1:])):
+        for i in range(9):
+            texts += [f"say {cue} 77{k}0000{i} w{k}q{i}", f"say {after} 77{k}0000{i} v{k}q{i}"]
+    texts += ["say delta 9876543 end"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["text"]: r["spans"] for r in find_pii(docs, ["text"], "text", PiiParams(support=5, confidence=0.4)).collect()}
+    surfaces = lambda t: [t[int(a) : int(b)] for _, a, b in (x.split(":") for x in got[t].split(",") if x)]
+    for text, want in found.items():
+        assert len(surfaces(text)) == len(want) and all(a.startswith(b) for a, b in zip(surfaces(text), want)), (text, surfaces(text))
+    for text in list(found)[:4]:
+        assert surfaces(text) == found[text]
+    assert surfaces("say delta 9876543 end") == ["9876543"]  # takes five rounds
+
+
 def test_token_counts(spark):
     counter = PieceCounter.build({"o", "two"}, {"n", "e"})
     got = {r["doc_id"]: tuple(r)[1:] for r in count_tokens(documents(spark), ["doc_id"], "text", counter).collect()}
