@@ -3,8 +3,9 @@
 1. Every text gives its shingle-set identity and, for each tree of the forest, a
    trie key of eight one-byte MinHash labels. Texts with equal sets form one class;
    only classes go on.
-2. Trie keys are matched on a prefix. It starts at full length and is shortened
-   until two texts at the threshold meet in some tree with the target recall.
+2. Trie keys are matched on a prefix of one fixed length, which the parameters alone give:
+   the longest at which two texts at the threshold meet in some tree with the target
+   recall. It doesn't adapt to the texts; further labels serve the comparison of signatures in 3.
 3. In each trie node, sorted members are compared by signature with the
    node's leaders. A member as similar to a leader as the threshold asks joins it; others lead
    in turn. By the triangle inequality of Jaccard distance every link of a
