@@ -4,9 +4,10 @@ Vectors are scaled to unit length, rotated, and cut in halves. Each half has its
 own codebook, fitted on a bounded sample; the pairs of codes are the cells of a
 product grid, in which every vector is indexed. A vector visits cells nearest
 first by the multi-sequence algorithm, where a cell's distance is how far beyond
-the boundaries of both its codes the vector lies. It stops at the radius outside which a
-link is less likely than the recall target allows (and never needs to go beyond the distance of a
-link itself). What it meets there is verified in double precision.
+the boundaries of both its codes the vector lies. It stops at the distance of a link over the root of 2, which
+loses no link: the vectors of a link lie on both sides of the boundaries between their
+codes, so how far each is beyond them adds up, half by half, to the link's distance at most, and the
+nearer of the two visits the other's cell. What it meets there is verified in double precision.
 """
 
 from __future__ import annotations
@@ -28,7 +29,6 @@ from .scratch import Scratch, spread
 @dataclass(frozen=True)
 class VectorParams:
     cosine: float = 0.98
-    recall: float = 1 - 1e-9
     sample: int = 4096  # vectors that the codebooks are fitted on, at most
     cell_rows: int = 512  # vectors of one label that a cell should hold on average
     most_codes: int = 64  # in a codebook
@@ -80,9 +80,7 @@ def fit_codebook(sample: np.ndarray, codes: int, p: VectorParams) -> Codebook:
         halves.append(c)
         gaps.append(gap)
     link = math.sqrt(2 * (1 - p.cosine))
-    missed = max(1 - p.recall, 0.0)
-    radius = link if not missed else min(link, link / math.sqrt(d) * math.sqrt(2 * math.log(1 / missed)))
-    return Codebook(rotation, halves, gaps, radius + 1e-9)
+    return Codebook(rotation, halves, gaps, link / math.sqrt(2) + 1e-9)
 
 
 def nearest_cells(far1: np.ndarray, far2: np.ndarray, radius: float) -> list[int]:

@@ -143,6 +143,19 @@ def test_near_vectors(spark):
         assert sorted(map(tuple, near_vectors(df, "vec_id", "embedding", "label", p).collect())) == want
 
 
+@pytest.mark.parametrize("d, cell_rows", [(64, 4), (64, 25), (256, 4), (256, 25)])
+def test_near_vectors_of_many_dimensions_and_codes(spark, d, cell_rows):
+    rng = np.random.default_rng(d)
+    a, b = np.linalg.qr(rng.normal(size=(d, 2)))[0].T
+    ends = [np.cos(t) * a + np.sin(t) * b for t in (0.0, 0.19)]  # every pair is linked, and codes part the ends
+    x = np.array([ends[i % 2] + rng.normal(size=d) * 1e-4 for i in range(100)] + [ends[0] + rng.normal(size=d) * 0.14 / np.sqrt(d) for _ in range(100)])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = (u @ u.T >= 0.98).sum(axis=1) - 1
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r["n_links"] for r in near_vectors(df, "vec_id", "embedding", "label", VectorParams(cell_rows=cell_rows)).collect()}
+    assert [got[i] for i in range(len(x))] == links.tolist() and links.min() < links.max()
+
+
 def test_decontamination(spark):
     items = spark.createDataFrame([(1, ITEM), (2, "never there " + prose(9)), (None, ITEM), (3, None), (4, ""), (5, "two words")], "item_id long, text string")
     got = {r["doc_id"]: r for r in contaminated(documents(spark), ["doc_id", "items", "th"], "text", items, "item_id", "text").collect()}
