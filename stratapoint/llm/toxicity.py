@@ -45,6 +45,8 @@ class ToxicParams:
     entries: int = 20000  # learned entries, at most
     reach: int = 4  # words over which a negation or target acts
     threshold: float = 0.5
+    bands: int = 8  # of four independent minima each, for near copies among the rows to fit on
+    copied: float = 0.8  # of the minima agree in a near copy, at least
 
 
 def entries_of(word: str, p: ToxicParams) -> list[str]:
@@ -142,11 +144,31 @@ def _features(p: ToxicParams, keep: frozenset | None):
     return count
 
 
-def _one_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds the least shingle, by which near copies of a row mostly agree."""
-    for batch in slices(batches, "text"):
-        s = shingled(batch.column("text"))
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(per_text(s, s.values, np.minimum).view(np.int64))], names=[*batch.schema.names, "least"])
+def _minima(p: ToxicParams):
+    """Adds independent minima of the shingles: the share on which two rows agree estimates their Jaccard similarity."""
+    multipliers = np.random.default_rng(5).integers(1, 2**63, 4 * p.bands, dtype=np.uint64) | np.uint64(1)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            s = shingled(batch.column("text"))
+            least = np.stack([per_text(s, s.values * m, np.minimum) for m in multipliers], axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x.tobytes() for x in least], pa.binary())], names=[*batch.schema.names, "minima"])
+
+    return add
+
+
+def one_of_each(minima: np.ndarray, p: ToxicParams) -> np.ndarray:
+    """Rows of minima that are no near copy of an earlier kept row: such rows meet in a band, and are compared on all minima."""
+    kept, met = [], {}
+    for i, row in enumerate(minima):
+        keys = [(b, row[4 * b : 4 * b + 4].tobytes()) for b in range(p.bands)]
+        near = np.unique(np.array([j for k in keys for j in met.get(k, ())], np.int64))
+        if len(near) and ((minima[near] == row).mean(axis=1) >= p.copied).any():
+            continue
+        kept.append(i)
+        for k in keys:
+            met.setdefault(k, []).append(i)
+    return np.array(kept, np.int64)
 
 
 def fit_grammar(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, train: Column, p: ToxicParams = ToxicParams()) -> Grammar:
@@ -157,8 +179,16 @@ def fit_grammar(docs: DataFrame, labels: DataFrame, key: str, text: str, label:
     share = min(1.0, 0.95 * p.sample / max(known.count(), 1))
     known = known.filter(F.pmod(F.xxhash64(F.lit(3), "_k"), F.lit(1 << 20)) < F.lit(share * (1 << 20))).limit(p.sample)
     rows = docs.select(F.col(key).alias("_k"), F.col(text).alias("text")).join(known, "_k").select("text", (F.col("_y") > 0).cast("int").alias("y"), F.col("_k").cast("string").alias("k"))
-    rows = rows.mapInArrow(_one_of_each, "text string, y int, k string, least long").dropDuplicates(["least", "y"]).cache()
+    every = rows.dropDuplicates().withColumn("h", F.xxhash64("k", "text")).cache()
+    seen = every.mapInArrow(_minima(p), "text string, y int, k string, h long, minima binary").select("y", "h", "minima").collect()
+    chosen = []
+    for y in (0, 1):  # in the order of the hashes, so that a run repeats
+        of = sorted((r["h"], bytes(r["minima"])) for r in seen if r["y"] == y)
+        if of:
+            chosen += [(of[i][0], y) for i in one_of_each(np.frombuffer(b"".join(m for _, m in of), np.uint64).reshape(len(of), -1), p).tolist()]
+    rows = every.join(spark.createDataFrame(chosen, "h long, y int"), ["h", "y"]).select("text", "y").cache()
     size = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    every.unpersist()
     n1, n0 = size.get(1, 0), size.get(0, 0)
     if not n1 or not n0:
         rows.unpersist()

@@ -5,6 +5,7 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -19,6 +20,7 @@ from stratapoint.llm.pii import PiiParams, base_spans, find_pii, joined
 from stratapoint.llm.quality import fit_quality, score_quality
 from stratapoint.llm.scratch import Scratch
 from stratapoint.llm.sharding import ShardParams, shard_rows
+from stratapoint.llm.shingles import shingled
 from stratapoint.llm.toxicity import fit_grammar, score_toxicity
 from stratapoint.llm.wordpiece import PieceCounter, count_tokens
 
@@ -235,6 +237,18 @@ def test_classifiers(spark):
     assert np.mean([(got[i] >= 0.5) == (i % 3 == 0) for i in range(0, 300, 5)]) > 0.95 and all(0 <= v <= 1 for v in got.values())
 
 
+def test_texts_that_share_a_passage_are_fitted_apart(spark):
+    passage = min((prose(60) for _ in range(300)), key=lambda t: shingled(pa.array([t])).values.min())  # holds the least shingle of all that share it
+    rows = [f"{passage} {prose(20)} {w} {prose(20)}" for w in ["vermin"] * 12 + ["scumbag"] * 12] + [prose(100) for _ in range(60)]
+    copied = prose(100).split()
+    rows += [" ".join([*copied[:k], "swine", *copied[k + 1 :]]) for k in range(40, 42)] * 6  # two near copies, each six times
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 24 or i >= 84)) for i in range(len(rows))], "doc_id long, toxic int")
+    insults = fit_grammar(docs, labels, "doc_id", "text", "toxic", F.lit(True)).insults
+    assert {w for w in ("vermin", "scumbag") if any(w.startswith(e.rstrip("*")) for e in insults)} == {"vermin", "scumbag"}
+    assert not any("swine".startswith(e.rstrip("*")) for e in insults)  # near copies still count once
+
+
 def test_empty_tables(spark):
     docs = documents(spark, [])
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
