@@ -19,7 +19,7 @@ from stratapoint.llm.quality import QualityParams, fit_quality, score_quality
 from stratapoint.llm.scratch import Scratch, packed, unpacked
 from stratapoint.llm.sharding import shard_rows
 
-ORACLE_SQL = None  # fitted models and hashing: tests compare the stages with brute force
+ORACLE_SQL = None  # fitted models and hashing: tests/llm/test_registered.py checks run() on a small fixture; mixing only per source, against the operator
 
 
 def _row_hash(docs: DataFrame):
