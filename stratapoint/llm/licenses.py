@@ -1,18 +1,25 @@
 """License scans: MinHash bands over overlapping text windows, then exact shingle containment.
 
-Windows have a template's number of shingles. Containment ``c`` of equal-sized sets is
-a Jaccard similarity of at least ``c / (2 - c)``; with 20 bands of 2 rows such a window meets
-its template in some band with a probability of 1 - 8e-6 at c = 0.8.
+Windows have a template's number of shingles. A window that holds the share ``c`` of the ``d`` distinct
+shingles of a template of ``m`` has a Jaccard similarity of at least ``c * d / (m + (1 - c) * d)`` with it, 2/3
+at c = 0.8 if none repeats. There are as many bands as make such a window miss its template
+in all of them with a probability of ``miss`` at most; bands have two rows, or one where a template repeats so
+many shingles that two would ask for very many bands.
+
+A band's rows are minima of the shingle hashes under different exclusive-or masks: on well mixed
+hashes each mask is another order.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .passages import PassageParams, item_shingles, per_document, shared, windows
+from .passages import PassageParams, item_shingles, per_document, small, windows
 from .scratch import Scratch, unpacked
 
 # fixed values: the wording of public license notices
@@ -32,16 +39,22 @@ TEMPLATES = {
 
 @dataclass(frozen=True)
 class LicenseParams(PassageParams):
-    bands: int = 20
-    rows: int = 2
+    rows: int = 2  # minima of a band, where the least similarity is a half or more; else 1
+    miss: float = 1e-5  # chance that a window at the threshold shares no band with its template
+    seed: int = 17
+
+    def shape(self, jaccard: float) -> tuple[int, int]:
+        """Bands and rows for sets of that similarity at least."""
+        rows = self.rows if jaccard >= 0.5 else 1
+        return (math.ceil(math.log(self.miss) / math.log1p(-(jaccard**rows))) if jaccard < 1 else 1), rows
 
 
-def _bands(rows: DataFrame, key: list[str], p: LicenseParams) -> DataFrame:
-    """key, band and value: hashes of p.rows MinHash values each."""
-    every = rows.select(*key, F.explode("hs").alias("h"))
-    least = every.groupBy(*key).agg(*[F.min(F.xxhash64(F.lit(i), "h")).alias(f"v{i}") for i in range(p.bands * p.rows)])
-    bands = [F.struct(F.lit(b).alias("band"), F.xxhash64(*[F.col(f"v{b * p.rows + r}") for r in range(p.rows)]).alias("value")) for b in range(p.bands)]
-    return least.select(*key, F.explode(F.array(*bands)).alias("x")).select(*key, "x.band", "x.value")
+def band_values(hs: str, bands: int, rows: int, p: LicenseParams) -> Column:
+    """One hash a band, of so many minima of an array of shingle hashes."""
+    masks = np.random.default_rng(p.seed).integers(-(2**63), 2**63, bands * rows).tolist()
+    under = lambda mask: F.array_min(F.transform(hs, lambda h: h.bitwiseXOR(F.lit(mask))))
+    least = [under(m) for m in masks]
+    return F.array(*[F.xxhash64(*least[b * rows : (b + 1) * rows]) for b in range(bands)])
 
 
 def scan_licenses(docs: DataFrame, keep: list[str], text: str, templates: dict[str, list[str]] = TEMPLATES, p: LicenseParams = LicenseParams()) -> DataFrame:
@@ -55,11 +68,17 @@ def scan_licenses(docs: DataFrame, keep: list[str], text: str, templates: dict[s
     scratch = Scratch(spark, "licenses")
     listed = [F.struct(F.lit(f"{name}#{i}").alias("item"), F.lit(t).alias("text")) for name, ts in templates.items() for i, t in enumerate(ts)]
     known = item_shingles(spark.range(1).select(F.explode(F.array(*listed)).alias("t")).select("t.*"), "item", "text", scratch, p)
-    wins = windows(docs, F.col(f"`{text}`"), known, scratch, p)
-    key = ["th", "k", "m", "start"]
-    pairs = _bands(wins, key, p).join(_bands(known, ["item", "k", "m"], p), ["k", "m", "band", "value"]).select(*key, "item").distinct()
-    size = known.select("item", F.size(F.array_distinct("hs")).alias("all"))
-    found = shared(pairs, wins, known).join(size, "item").filter(F.col("held") >= p.threshold * F.col("all") - 1e-9)
-    found = found.select("th", F.split_part("item", F.lit("#"), F.lit(1)).alias("license"), F.greatest("start", F.lit(0)).alias("start"))
+    c = F.lit(p.threshold)
+    worst = known.agg(F.min(c * F.col("d") / (F.col("m") + (1 - c) * F.col("d")))).first()[0]
+    bands, rows = p.shape(worst or 1.0)
+    wins = windows(docs, F.col(f"`{text}`"), known, lambda w, m, d: F.ceil(d * c - 1e-9), scratch, p)
+    asking = wins.withColumn("vs", band_values("hs", bands, rows, p)).select("th", "k", "m", "start", "hs", "vs", F.posexplode("vs").alias("band", "value"))
+    listed = known.select("row", "k", "m", band_values("hs", bands, rows, p).alias("item_vs")).select("row", "k", "m", "item_vs", F.posexplode("item_vs").alias("band", "value"))
+    shared = F.array_position(F.zip_with("vs", "item_vs", lambda x, y: x == y), True) - 1
+    pairs = asking.join(small(scratch.save(listed), p), ["k", "m", "band", "value"]).filter(F.col("band") == shared)  # a pair counts in its first band
+    templates_hs = known.select("row", "item", "d", F.col("hs").alias("item_hs"))
+    found = pairs.select("th", "start", "hs", "row").join(small(templates_hs, p), "row").filter(F.size(F.array_intersect("hs", "item_hs")) >= F.ceil(F.col("d") * c - 1e-9))
+    found = scratch.save(found.select("th", "item", "start").distinct())
+    found = found.select("th", F.split_part("item", F.lit("#"), F.lit(1)).alias("license"), "start")
     out = per_document(docs, keep, ["n_licenses", "licenses", "starts"], F.col(f"`{text}`"), found, [F.array_sort(F.collect_set("license")).alias("licenses"), F.array_sort(F.collect_set(F.struct("start", "license"))).alias("starts")])
     return unpacked(out, F.coalesce(F.size("licenses"), F.lit(0)).alias("n_licenses"), F.coalesce("licenses", F.array().cast("array<string>")).alias("licenses"), F.coalesce("starts", F.array().cast("array<struct<start:int,license:string>>")).alias("starts"))
