@@ -14,7 +14,8 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     Each round replaces a node's edges by edges to its least neighbour and is
     written to the shared folder; the rounds end when the edges stay the same. A node with
     very many edges is met by partial aggregates and by joins that Spark can
-    split. The driver sees one checksum a round.
+    split. The driver sees one checksum a round. Only the written table of a round is
+    made distinct: what a round repeats in between does no harm to the least neighbours.
     """
     now = scratch.save(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct())
     seen = None
@@ -25,10 +26,12 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         seen = sign
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v")
-        after = scratch.save(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        # the least neighbour itself, and an edge from every other neighbour to it
+        ends = F.array(F.struct(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))
+        small = large.join(low, "u").select(F.explode(ends).alias("e")).select("e.u", "e.v").filter("u > v")
+        after = scratch.save(small.distinct())
         scratch.drop(now)
         now = after
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

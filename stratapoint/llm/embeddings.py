@@ -192,18 +192,17 @@ def near_vectors(rows: DataFrame, key: str, vector: str, label: str, p: VectorPa
     vector that is null, empty, all zero or holds a null or non-finite number
     links with nothing. ``n_links`` counts the other rows linked directly, copies included;
     ``component_id`` is the least key reachable. Equal rows are compared once and
-    counted as often as they are there. No rows: no rows. Equality of label and vector
+    counted as often as they are there. No rows: no rows. A result with the name of the key is left out. Equality of label and vector
     is taken from a 64-bit hash.
     """
     spark = rows.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     scratch = Scratch(spark, "vectors")
     item = rows.schema[vector].dataType.elementType.simpleString()
     kind = "<f4" if item == "float" else "<f8"
     v = F.col("vector")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
     good = F.coalesce((F.size(v) > 0) & finite & F.col("label").isNotNull(), F.lit(False))
-    every = rows.select(F.col(key).alias("key"), F.col(vector).cast("array<float>" if item == "float" else "array<double>").alias("vector"), F.col(label).alias("label"))
+    every = rows.select(F.col(f"`{key}`").alias("key"), F.col(f"`{vector}`").cast("array<float>" if item == "float" else "array<double>").alias("vector"), F.col(f"`{label}`").alias("label"))
     every = every.select("key", "vector", F.when(good, F.xxhash64("label", F.size("vector"))).alias("grp"), F.when(good, F.xxhash64("label", "vector")).alias("uid"))
     merged = every.filter("uid is not null").groupBy("uid").agg(F.min("key").alias("least_key"), F.count(F.lit(1)).alias("copies"), F.first("grp").alias("grp"), F.first("vector").alias("vector"))
     classes = scratch.save(merged)
@@ -227,4 +226,5 @@ def near_vectors(rows: DataFrame, key: str, vector: str, label: str, p: VectorPa
     linked = linked.join(least, "root").select("uid", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
     out = every.select("key", "uid").join(linked, "uid", "left")
     component = F.when(F.col("uid").isNull(), F.col("key")).otherwise(F.col("component_id"))
-    return out.select(F.col("key").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("key").eqNullSafe(component).alias("kept"))
+    results = {"n_links": F.coalesce("n_links", F.lit(0)).cast("long"), "component_id": component, "kept": F.col("key").eqNullSafe(component)}
+    return out.select(F.col("key").alias(key), *[c.alias(n) for n, c in results.items() if n != key])

@@ -170,19 +170,20 @@ def _verify(p: JaccardParams):
             np.fill_diagonal(full, False)
             n, root = full.astype(np.int64) @ copies, forest(full)
         some = np.flatnonzero(n)
-        return pa.RecordBatch.from_arrays([pa.array(uid[some]), pa.array(n[some]), pa.array(uid[root[some]])], names=["uid", "links", "root"])
+        whole = np.full(len(some), rows[0][5] == 1)
+        return pa.RecordBatch.from_arrays([pa.array(uid[some]), pa.array(n[some]), pa.array(uid[root[some]]), pa.array(whole)], names=["uid", "links", "root", "whole"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows = None, []
         for batch in batches:
-            for cand, i, j, uid, copies, side, raw in zip(*(batch.column(c).to_pylist() for c in ("cand", "bi", "bj", "uid", "copies", "side", "shingles"))):
+            for cand, i, j, uid, copies, side, raw, blocks in zip(*(batch.column(c).to_pylist() for c in ("cand", "bi", "bj", "uid", "copies", "side", "shingles", "blocks"))):
                 if now == (cand, i, j) and rows[-1][0] == uid:
                     continue  # a repeated row
                 if now != (cand, i, j):
                     if len(rows) > 1:
                         yield flush(rows)
                     now, rows = (cand, i, j), []
-                rows.append((uid, copies, side, i == j, np.frombuffer(raw, np.uint64)))
+                rows.append((uid, copies, side, i == j, np.frombuffer(raw, np.uint64), blocks))
         if len(rows) > 1:
             yield flush(rows)
 
@@ -197,12 +198,11 @@ def jaccard_join(docs: DataFrame, key: str, text: str, p: JaccardParams = Jaccar
     reachable by links and ``kept`` whether the row's key is that one. Texts
     without words link with nothing and are kept. Null keys sort last; repeated
     rows are copies of each other. No documents: no rows. Identities of shingle
-    sets are 64-bit hashes. ``row_hash`` is a hash of the row's other columns.
+    sets are 64-bit hashes. ``row_hash`` is a hash of all of the row's columns. A result with the name of the key is left out.
     """
     spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     scratch = Scratch(spark, "jaccard")
-    named = docs.select(F.col(key).alias("key"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_hash"), F.col(text).alias("text"))
+    named = docs.select(F.col(f"`{key}`").alias("key"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_hash"), F.col(f"`{text}`").alias("text"))
     kind = docs.schema[key].dataType.simpleString()
     rows = scratch.save(named.mapInArrow(_signer(p), f"key {kind}, row_hash long, uid long, n_shingles long, sig binary"))
     # a class: the least row (null keys last) stands for it
@@ -226,19 +226,24 @@ def jaccard_join(docs: DataFrame, key: str, text: str, p: JaccardParams = Jaccar
     sets = texts.mapInArrow(_shingle_sets(p), "uid long, cand long, copies long, blocks long, shingles binary")
     own = F.pmod(F.xxhash64("uid"), "blocks")
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("bi"), F.greatest(o, F.col("own")).alias("bj"), (F.col("own") > o).cast("int").alias("side")))
-    spreaded = sets.withColumn("own", own).withColumn("b", F.explode(pairs)).select("cand", "b.bi", "b.bj", "b.side", "uid", "copies", "shingles")
+    spreaded = sets.withColumn("own", own).withColumn("b", F.explode(pairs)).select("cand", "b.bi", "b.bj", "b.side", "uid", "copies", "blocks", "shingles")
     spreaded = spreaded.repartition(width, "cand", "bi", "bj").sortWithinPartitions("cand", "bi", "bj", "uid")
-    found = scratch.save(spreaded.mapInArrow(_verify(p), "uid long, links long, root long"))
-    links = found.groupBy("uid").agg(F.sum("links").alias("links"))
-    roots = components(found.select(F.col("uid").alias("a"), F.col("root").alias("b")), scratch)
-    class_rows = classes.drop("sig").join(links, "uid", "left").join(roots.withColumnRenamed("node", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
+    found = scratch.save(spreaded.mapInArrow(_verify(p), "uid long, links long, root long, whole boolean"))
+    # candidates of one block are whole components there; only those of several blocks have to be put together
+    parts = components(found.filter("not whole").select(F.col("uid").alias("a"), F.col("root").alias("b")), scratch)
+    roots = found.filter("whole").select("uid", "root").unionByName(parts.withColumnRenamed("node", "uid"))
+    linked = found.select("uid", "links", F.lit(None).cast("long").alias("root")).unionByName(roots.select("uid", F.lit(0).cast("long").alias("links"), "root"))
+    linked = scratch.save(linked.groupBy("uid").agg(F.sum("links").alias("links"), F.min("root").alias("root")))
+    class_rows = classes.drop("sig").join(linked, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
     least = class_rows.groupBy("root").agg(F.min(F.struct(F.col("rep_key").isNull(), "rep_key", "rep_hash")).alias("c"))
-    class_rows = class_rows.join(least, "root").select("uid", F.col("rep_key").alias("class_id"), F.col("copies").alias("class_size"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("c.rep_key").alias("component_id"), F.col("c.rep_hash").alias("kept_hash"))
+    class_rows = scratch.save(class_rows.join(least, "root").select("uid", F.col("rep_key").alias("class_id"), F.col("copies").alias("class_size"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("c.rep_key").alias("component_id"), F.col("c.rep_hash").alias("kept_hash")))
     out = rows.drop("sig").join(class_rows, "uid", "left")
     alone = F.col("uid").isNull()
-    return out.select(
-        F.col("key").alias(key), "row_hash", F.when(alone, F.col("key")).otherwise(F.col("class_id")).alias("class_id"),
+    results = (
+        "row_hash", F.when(alone, F.col("key")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("class_size", F.lit(1)).alias("class_size"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
         F.when(alone, F.col("key")).otherwise(F.col("component_id")).alias("component_id"),
         (alone | (F.col("key").eqNullSafe(F.col("component_id")) & (F.col("row_hash") == F.col("kept_hash")))).alias("kept"),
     )
+    names = ("row_hash", "class_id", "class_size", "n_links", "component_id", "kept")
+    return out.select(F.col("key").alias(key), *[F.col(c).alias(c) if isinstance(c, str) else c for n, c in zip(names, results) if n != key])

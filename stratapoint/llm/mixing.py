@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .prefix import bucket_offsets, ranked
+from ..operators.prefix import bucket_offsets, ranked
 from .scratch import Scratch
 
 SEPARATORS = r"\x20\x09-\x0D"
@@ -38,6 +38,12 @@ def word_count(text: Column) -> Column:
     return F.length(F.regexp_replace(marks, f"[{SEPARATORS}]+", "")).cast("long")
 
 
+def shuffle_key(seed: int, key: list[Column]) -> Column:
+    """A number below 2**60 by which rows are shuffled: from the MD5 of the seed and the key, so that any SQL engine can repeat it."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(c.cast("string"), F.lit("")) for c in key])
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
 def van_der_corput(i: Column) -> Column:
     """The base-2 radical inverse of the low 32 bits of i, in [0, 1)."""
     v = i.bitwiseAND(F.lit(0xFFFFFFFF))
@@ -91,7 +97,7 @@ def schedule(sources: DataFrame, scratch: Scratch, p: MixParams) -> DataFrame:
     placed = slots.join(pieces, "cell").filter((F.col("point") >= F.col("lo")) & (F.col("point") < F.col("hi")))
     placed = scratch.save(placed.select("sid", "take", "slot", F.floor(F.col("slot") / p.chunk_slots).cast("long").alias("chunk")))
     per = placed.groupBy("sid", "chunk").agg(F.count(F.lit(1)).alias("n"))
-    before = bucket_offsets(per, ["sid"], "chunk", {"n": "n0"})
+    before = bucket_offsets(per, ["sid"], "chunk", {"n": "n0"}, -(-n_slots // p.chunk_slots))
     rank = F.row_number().over(W.partitionBy("sid", "chunk").orderBy("slot")) - 1 + F.col("n0")
     taken = placed.join(before, ["sid", "chunk"]).select("sid", "take", "slot", rank.cast("long").alias("block"))
     blocks = F.ceil(F.col("take") / b).cast("long")
@@ -111,21 +117,20 @@ def mix_sources(docs: DataFrame, key: list[str], size: Column, source: Column, p
     cap times size); ``copies`` is how often more than half of its words are taken in one pass
     over its source. Nulls: a null source is a source of its own, a null text has
     size 0. Rows of size 0 take no part and have taken 0. Repeated rows are
-    separate rows. No documents: no rows. Key columns may have any names that
-    do not begin with an underscore.
+    separate rows. No documents: no rows. A result with the name of a key column is left out.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mix")
     named = {c: f"_key{i}" for i, c in enumerate(key)}
     source_key = F.coalesce(F.concat(F.lit("="), source), F.lit("~"))
-    slim = docs.select(*[F.col(c).alias(n) for c, n in named.items()], size.alias("size"), source_key.alias("source_key"))
-    slim = scratch.save(slim.withColumn("_hash", F.xxhash64(F.lit(p.seed), *named.values())))
+    slim = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in named.items()], size.alias("size"), source_key.alias("source_key"))
+    slim = scratch.save(slim.withColumn("_hash", shuffle_key(p.seed, [F.col(n) for n in named.values()])))
     sizes = slim.groupBy("source_key").agg(F.sum("size").alias("source_size"))
     sources = source_targets(sizes, scratch, p)
     n = max(1, -(-slim.count() // p.bucket_rows))
     rows = slim.join(sources.select("source_key", "sid", "source_size", "target", "take"), "source_key").drop("source_key")
-    rows = rows.withColumn("bucket", F.pmod(F.shiftright("_hash", 3), F.lit(n)))
-    before = bucket_offsets(rows.groupBy("sid", "bucket").agg(F.sum("size").alias("s")), ["sid"], "bucket", {"s": "_from"})
+    rows = rows.withColumn("bucket", F.pmod("_hash", F.lit(n)))
+    before = bucket_offsets(rows.groupBy("sid", "bucket").agg(F.sum("size").alias("s")), ["sid"], "bucket", {"s": "_from"}, n)
     w = W.partitionBy("sid", "bucket").orderBy("_hash", *named.values(), "size")
     rows = rows.join(before, ["sid", "bucket"]).withColumn("_row", F.row_number().over(w))
     rows = rows.withColumn("_from", F.col("_from") + F.sum("size").over(w.rowsBetween(W.unboundedPreceding, 0)) - F.col("size"))
@@ -144,4 +149,5 @@ def mix_sources(docs: DataFrame, key: list[str], size: Column, source: Column, p
     passes = [F.sum(F.when(F.col("pass") == k, F.col("_w")).otherwise(0)).alias(f"_p{k}") for k in range(p.cap)]
     out = hit.groupBy(*keep).agg(F.sum("_w").cast("long").alias("taken"), F.min(F.when(F.col("_w") > 0, F.col("slot"))).alias("first_slot"), *passes)
     copies = sum(((F.col(f"_p{k}") * 2 > F.col("size")).cast("int") for k in range(p.cap)), F.lit(0))
-    return out.select(*[F.col(n).alias(c) for c, n in named.items()], "size", "source_size", "target", "taken", copies.cast("int").alias("copies"), "first_slot")
+    results = {c: F.col(c) for c in ("size", "source_size", "target", "taken")} | {"copies": copies.cast("int"), "first_slot": F.col("first_slot")}
+    return out.select(*[F.col(n).alias(c) for c, n in named.items()], *[c.alias(n) for n, c in results.items() if n not in named])

@@ -1,14 +1,17 @@
 """Personal data: exact base patterns, then bootstrapped contextual extraction.
 
 Base entities of four kinds come from fixed patterns over the whole text. They seed a
-pattern-instance graph: a pattern is the word to the left, the word to the right, or both,
-of an identifier-like candidate; an instance is a base entity, another token with digits or
-an at sign, or a run of digit groups that blanks, dots, hyphens and brackets join.
-Spark scores patterns by the share of their instances that are known to be of a kind,
-and instances by their best pattern, round by round until a round adds none; what a high-confidence
-pattern points at becomes a span of that kind and a seed of the next round.
-A part of a run is a candidate too, but doesn't count for a pattern's score;
-of overlapping spans found so the first and longest stays.
+pattern-instance graph: instances are base entities, other tokens with digits or an at sign,
+and runs of digit groups that blanks, line ends, dots, hyphens and brackets join, with the runs' parts.
+Patterns are lexical: the word to the left, the two words to the left, the word to the right, the words on both sides, and
+the instance's own form, that is its groups of digits and letters, the signs between them and
+whether its digits pass the check that its kind may have. Nothing says which of them tell a kind: Spark scores
+patterns by the share of their instances' scores that is of a kind (an instance of no known kind counts less against it if it may be of that kind), and instances by their best pattern, round by
+round until a round adds none; an instance that a high-confidence pattern points at becomes one of that kind,
+with the pattern's score, and counts for the patterns of the next round. So a form that only known cards have finds
+a card that stands right beside another one, where the base pattern sees one long number.
+A part of a run is a candidate too, but doesn't count for a pattern's score. Every place of a known instance
+is a span, also where the base patterns passed it over; of overlapping spans found so the first and longest stays.
 """
 
 from __future__ import annotations
@@ -35,9 +38,10 @@ IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGITS = re.compile(r"[0-9]")
-TOKEN = re.compile(r"\S*[0-9@]\S*")
+TOKEN = re.compile(r"(?<!\S)\S*?[0-9@]\S*+")
+PIECES = re.compile(r"[0-9]+|[^\W\d_]+|\s+")
 GROUP = re.compile(r"\+?\(?[0-9][0-9().-]*+")
-BLANKS = " \xa0\u202f"
+BLANKS = " \xa0\u202f\n\r\t"
 EDGE = re.compile(r"^\W+|\W+$")
 LUHN = [[int(c) for c in "0123456789"], [int(c) for c in "0246813579"]]
 
@@ -46,7 +50,8 @@ LUHN = [[int(c) for c in "0123456789"], [int(c) for c in "0246813579"]]
 class PiiParams:
     support: int = 8  # distinct known instances of a pattern, at least
     confidence: float = 0.9
-    longest: int = 64  # characters of a discovered span
+    unknown: float = 0.25  # what an instance of no known kind counts against a kind that it may be of; others count whole
+    word: int = 64  # characters of a neighbouring word; a longer one is no context
 
 
 def luhn(digits: str) -> bool:
@@ -96,10 +101,44 @@ def possible(token: str) -> list[str]:
     return out
 
 
-def _word(text: str, at: int, step: int) -> str:
-    """The next word to the left (step -1) or right of a position, within 40 characters."""
-    words = (text[max(0, at - 40) : at] if step < 0 else text[at : at + 40]).split()
-    return EDGE.sub("", words[-1 if step < 0 else 0].lower()) if words else ""
+def _words(text: str, at: int, step: int, p: PiiParams) -> list[str]:
+    """The next two words to the left (step -1) or right of a position, nearest first; a word that is too long ends the list."""
+    reach = 2 * p.word + 4
+    piece = text[max(0, at - reach) : at] if step < 0 else text[at : at + reach]
+    cut = at > reach if step < 0 else at + reach < len(text)
+    words = piece.split()[::step]
+    if cut and words and not piece[0 if step < 0 else -1].isspace():
+        words.pop()  # goes on beyond the reach
+    out = []
+    for w in words[:2]:
+        w = EDGE.sub("", w.lower())
+        if not w or len(w) > p.word:
+            break
+        out.append(w)
+    return out
+
+
+def form(surface: str) -> str:
+    """Groups of digits by length, letters and blanks as such, other signs as they are; and which checks the digits pass."""
+    digits = "".join(DIGITS.findall(surface))
+    parts = surface.split(".")
+    octets = len(parts) == 4 and all(x.isascii() and x.isdigit() and len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in parts)
+    passed = "L" * (len(digits) >= 12 and luhn(digits)) + "I" * octets
+    return PIECES.sub(lambda m: " " if m[0].isspace() else f"d{len(m[0])}" if m[0][0] in "0123456789" else "a", surface) + f" {passed}"
+
+
+def patterns(surface: str, left: list[str], right: list[str]) -> list[str]:
+    """The patterns of one place of an instance."""
+    out = [f"F {form(surface)}"]
+    if left:
+        out.append(f"L {left[0]}")
+    if right:
+        out.append(f"R {right[0]}")
+    if len(left) > 1:
+        out.append(f"LL {left[1]} {left[0]}")
+    if left and right:
+        out.append(f"B {left[0]} {right[0]}")
+    return out
 
 
 def _trimmed(text: str, a: int, b: int) -> tuple[int, int]:
@@ -112,8 +151,8 @@ def _trimmed(text: str, a: int, b: int) -> tuple[int, int]:
     return a, b
 
 
-def _runs(text: str, taken: list[tuple[int, int]], p: PiiParams) -> list[tuple[int, int, list[str], bool]]:
-    """(start, end, possible kinds, whole) of runs of two or more digit groups with blanks between them, outside the base spans, and of the runs' parts."""
+def _runs(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int, list[str], bool]]:
+    """(start, end, possible kinds, whole) of runs of two or more digit groups with blanks or line ends between them, outside the base spans, and of the runs' parts."""
     runs, end, i = [], -1, 0  # end: of the group before, if a run may go on there
     for m in GROUP.finditer(text):
         a, b = m.start(), m.start() + len(m[0].rstrip(".-("))
@@ -130,39 +169,42 @@ def _runs(text: str, taken: list[tuple[int, int]], p: PiiParams) -> list[tuple[i
         end = b
     out = []
     for run in runs:
-        for first in range(len(run) - 1):
-            digits = run[first][2]
-            for last in range(first + 1, len(run)):
+        for first in range(len(run)):
+            digits = 0
+            for last in range(first, len(run)):  # single groups too, for a run of several
                 digits += run[last][2]
                 a, b = _trimmed(text, run[first][0], run[last][1])
-                if digits > 19 or b - a > p.longest:
+                if digits > 19:
                     break
-                kinds = ["card"] * (digits >= 12) + ["phone"] * (7 <= digits <= 15)
-                if kinds:
+                kinds = ["card"] * (digits >= 12) + ["phone"] * (7 <= digits <= 15)  # the others need no blanks
+                if kinds and len(run) > 1:
                     out.append((a, b, kinds, last - first == len(run) - 1))
     return out
 
 
-def _occurrences(text: str, base: list[tuple[str, int, int]], p: PiiParams) -> list[tuple]:
-    """(kind or None, start, end, surface, possible kinds, left word, right word, main) of base spans and of other identifier-like tokens and runs; parts of a run aren't main."""
-    out = [(k, a, b, text[a:b], [k], _word(text, a, -1), _word(text, b, 1), True) for k, a, b in base]
+def occurrences(text: str, base: list[tuple[str, int, int]], p: PiiParams) -> list[tuple]:
+    """(kind or None, start, end, surface, possible kinds, patterns, main) of base spans and of other identifier-like tokens and runs; parts of a run aren't main."""
     taken = sorted((a, b) for _, a, b in base)
-    runs = _runs(text, taken, p)
-    out += [(None, a, b, text[a:b], kinds, _word(text, a, -1), _word(text, b, 1), whole) for a, b, kinds, whole in runs]
+    runs = _runs(text, taken)
+    found = [(k, a, b, [k], True) for k, a, b in base] + [(None, a, b, kinds, whole) for a, b, kinds, whole in runs]
+    parts = {(a, b) for a, b, _, _ in runs}
     whole = [(a, b) for a, b, _, w in runs if w]
     i = j = 0
     for m in TOKEN.finditer(text):
         a, b = m.span()
         word = m[0]
-        a, b = a + len(word) - len(word.lstrip("\"'([{<,;:")), b - (len(word) - len(word.rstrip("\"')]}>,;:.!?")))
+        a, b = a + len(word) - len(word.lstrip("\"'([{<,;:")), b - (len(word) - len(word.rstrip("\"')]}>,;:.!?#$%&*|")))
         while i < len(taken) and taken[i][1] <= a:
             i += 1
-        if a >= b or b - a > p.longest or i < len(taken) and taken[i][0] < b:
+        if a >= b or (a, b) in parts or i < len(taken) and taken[i][0] < b:
             continue
         while j < len(whole) and whole[j][1] <= a:
             j += 1
-        main = j == len(whole) or whole[j][0] >= b
-        out.append((None, a, b, text[a:b], possible(text[a:b]), _word(text, a, -1), _word(text, b, 1), main))
+        found.append((None, a, b, possible(text[a:b]), j == len(whole) or whole[j][0] >= b))
+    out = []
+    for k, a, b, kinds, main in found:
+        surface = " ".join(text[a:b].split())
+        out.append((k, a, b, surface, kinds, patterns(surface, _words(text, a, -1, p), _words(text, b, 1, p)), main))
     return out
 
 
@@ -184,9 +226,8 @@ def _scan(p: PiiParams):
                 bases.append(joined(base))
                 hashes.append(hashlib.sha256(bases[-1].encode()).hexdigest())
                 found.append([
-                    {"kind": k, "start": a, "stop": b, "instance": _hash(s), "possible": kinds,
-                     "patterns": [_hash(x) for x in ([f"L {lw}"] if lw else []) + ([f"R {rw}"] if rw else []) + ([f"B {lw} {rw}"] if lw and rw else [])], "main": main}
-                    for k, a, b, s, kinds, lw, rw, main in _occurrences(text, base, p)
+                    {"kind": k, "start": a, "stop": b, "instance": _hash(s), "possible": kinds, "patterns": [_hash(x) for x in told], "main": main}
+                    for k, a, b, s, kinds, told, main in occurrences(text, base, p)
                 ])
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(bases), pa.array(hashes), pa.array(found, _OCCURRENCE)], names=[*batch.schema.names[:-1], "base", "base_sha256", "found"])
 
@@ -219,27 +260,28 @@ def find_pii(docs: DataFrame, keep: list[str], text: str, p: PiiParams = PiiPara
     it occurs. No documents: no rows. Kept columns named like a result give way to it.
     """
     spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     scratch = Scratch(spark, "pii")
     rows = packed(docs, keep, [*[f"n_{k}" for k in KINDS], "base_sha256", "spans"], text=F.col(f"`{text}`"))
     rows = rows.mapInArrow(_scan(p), extended(rows, ["text"], base=T.StringType(), base_sha256=T.StringType(), found=T.DataType.fromDDL(OCCURRENCE)))
     rows = scratch.save(rows.withColumn("_row", F.monotonically_increasing_id()))
     seen = rows.select("_row", F.explode("found").alias("o")).select("_row", "o.*")
     edges = scratch.save(seen.select("instance", "kind", "possible", "main", F.explode("patterns").alias("pattern")).groupBy("pattern", "instance").agg(F.max("kind").alias("kind"), F.first("possible").alias("possible"), F.max("main").alias("main")))
-    known = edges.filter("kind is not null").select("instance", "kind").distinct()
-    labels = scratch.save(known)
+    labels = scratch.save(edges.filter("kind is not null").groupBy("instance").agg(F.max("kind").alias("kind")).withColumn("score", F.lit(1.0)))
     while True:
         tagged = edges.drop("kind").join(labels, "instance", "left")
-        counts = tagged.filter("main").groupBy("pattern").agg(F.countDistinct("instance").alias("all"), *[F.count(F.when(F.col("kind") == k, 1)).alias(k) for k in KINDS])
-        best = F.array_max(F.array(*[F.struct(F.col(k).alias("n"), F.lit(k).alias("kind")) for k in KINDS]))
-        strong = counts.withColumn("best", best).filter((F.col("best.n") >= p.support) & (F.col("best.n") >= p.confidence * F.col("all"))).select("pattern", F.col("best.kind").alias("as"), (F.col("best.n") / F.col("all")).alias("score"))
+        per_kind = [c for k in KINDS for c in (F.sum(F.when(F.col("kind") == k, F.col("score"))).alias(f"s_{k}"), F.count(F.when(F.col("kind") == k, 1)).alias(f"n_{k}"), F.count(F.when(F.col("kind").isNull() & F.array_contains("possible", k), 1)).alias(f"u_{k}"))]
+        counts = tagged.filter("main").groupBy("pattern").agg(F.count(F.lit(1)).alias("all"), *per_kind)
+        share = lambda k: F.coalesce(f"s_{k}", F.lit(0.0)) / F.greatest(F.col("all") - (1 - p.unknown) * F.col(f"u_{k}"), F.lit(p.unknown))
+        best = F.array_max(F.array(*[F.struct(share(k).alias("share"), F.col(f"n_{k}").alias("n"), F.lit(k).alias("kind")) for k in KINDS]))
+        strong = counts.withColumn("best", best).select("pattern", F.col("best.kind").alias("as"), "best.n", "best.share")
+        strong = strong.filter((F.col("n") >= p.support) & (F.col("share") >= p.confidence)).drop("n")
         new = tagged.filter("kind is null").join(strong, "pattern").filter(F.array_contains("possible", F.col("as")))
-        new = scratch.save(new.groupBy("instance").agg(F.max_by("as", F.struct("score", "as")).alias("kind")))
+        new = scratch.save(new.groupBy("instance").agg(F.max(F.struct(F.col("share").alias("score"), F.col("as").alias("kind"))).alias("b")).select("instance", "b.kind", "b.score"))
         if new.isEmpty():
             break
         labels = scratch.save(labels.unionByName(new))
-    added = labels.join(known.select("instance"), "instance", "left_anti").dropDuplicates(["instance"])
-    spans = seen.filter("kind is null").select("_row", "instance", "start", "stop").join(added, "instance")
+    places = seen.filter("kind is null").select("_row", "instance", "start", "stop", "possible")
+    spans = places.join(labels.select("instance", "kind"), "instance").filter(F.array_contains("possible", F.col("kind")))
     more = spans.groupBy("_row").agg(F.collect_list(F.struct("kind", "start", "stop")).alias("more")).mapInArrow(_apart, "_row long, more array<struct<kind:string,start:int,stop:int>>")
     empty = F.array().cast("array<struct<kind:string,start:int,stop:int>>")
     base = F.transform(F.filter("found", lambda o: o["kind"].isNotNull()), lambda o: F.struct(o["kind"].alias("kind"), o["start"].alias("start"), o["stop"].alias("stop")))

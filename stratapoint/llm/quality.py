@@ -104,7 +104,10 @@ def holds(x: np.ndarray, rule: tuple[Condition, ...]) -> np.ndarray:
 def lasso_logistic(a: np.ndarray, y: np.ndarray, strength: float, rounds: int) -> tuple[float, np.ndarray]:
     """Accelerated proximal gradient; the intercept is free."""
     a1 = np.hstack([np.ones((len(a), 1)), a])
-    step = 4 * len(y) / (np.linalg.norm(a1, 2) ** 2 + 1e-9)
+    top = np.ones(a1.shape[1])
+    for _ in range(30):  # the largest eigenvalue, from below
+        top = a1.T @ (a1 @ (top / np.linalg.norm(top)))
+    step = 4 * len(y) / (1.05 * np.linalg.norm(top) + 1e-9)
     w = v = np.zeros(a1.shape[1])
     for k in range(1, rounds + 1):
         new = v - step * (a1.T @ (1 / (1 + np.exp(-(a1 @ v))) - y)) / len(y)
@@ -140,12 +143,12 @@ def fit_rules(x: np.ndarray, y: np.ndarray, p: QualityParams) -> RuleModel:
 
 def fit_quality(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, train: Column, p: QualityParams = QualityParams()) -> RuleModel:
     """Fit on at most p.sample labelled rows that ``train`` admits, chosen by a hash of the key."""
-    known = labels.filter(train & F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).alias("_y"))
+    known = labels.filter(train & F.col(f"`{label}`").isNotNull() & F.col(f"`{key}`").isNotNull()).groupBy(F.col(f"`{key}`").alias("_k")).agg(F.max(f"`{label}`").alias("_y"))
     n = known.count()
     share = min(1.0, 0.95 * p.sample / max(n, 1))
-    known = known.filter(F.pmod(F.xxhash64(F.lit(3), key), F.lit(1 << 20)) < F.lit(share * (1 << 20))).limit(p.sample)
-    stats = statistics(F.col(text))
-    found = docs.select(key, text).join(known, key).select("_y", *[c.alias(f"_{k}") for k, c in stats.items()])
+    known = known.filter(F.pmod(F.xxhash64(F.lit(3), "_k"), F.lit(1 << 20)) < F.lit(share * (1 << 20))).limit(p.sample)
+    stats = statistics(F.col("_t"))
+    found = docs.select(F.col(f"`{key}`").alias("_k"), F.col(f"`{text}`").alias("_t")).join(known, "_k").select("_y", *[c.alias(f"_{k}") for k, c in stats.items()])
     got = np.array([[float(v) for v in r] for r in found.limit(p.sample).collect()]).reshape(-1, len(stats) + 1)
     got = got[np.lexsort(got.T)]
     return fit_rules(got[:, 1:], (got[:, 0] > 0).astype(float), p)

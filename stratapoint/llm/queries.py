@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .decontaminate import contaminated
+from . import oracles
+from .decontaminate import SimHashParams, contaminated
 from .embeddings import near_vectors
 from .jaccard import jaccard_join
 from .licenses import scan_licenses
@@ -35,11 +36,14 @@ def op2_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_licenses(read(spark, sf_dir, "documents"), ["doc_id"], "text")
+    found = scan_licenses(read(spark, sf_dir, "documents"), ["doc_id"], "text")
+    starts = F.transform("starts", lambda x: F.concat_ws(":", x["start"].cast("string"), x["license"]))
+    return found.select("doc_id", "n_licenses", F.array_join("licenses", ",").alias("licenses"), F.array_join(starts, ",").alias("starts"))
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contaminated(read(spark, sf_dir, "documents"), ["doc_id"], "text", read(spark, sf_dir, "benchmark"), "item_id", "text")
+    found = contaminated(read(spark, sf_dir, "documents"), ["doc_id"], "text", read(spark, sf_dir, "benchmark"), "item_id", "text")
+    return found.withColumn("items", F.array_join(F.col("items").cast("array<string>"), ","))
 
 
 def _fold(k: int):
@@ -88,4 +92,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the queries whose rows it can express; the others are tested against plain versions in tests/llm."""
+    return {"op1_mix": oracles.mix_sql(), "op2_near_vectors": oracles.vectors_sql(), "op3_licenses": oracles.licenses_sql(), "op6_decontaminate": oracles.decontaminate_sql(SimHashParams()), "op7_ngram_join": oracles.jaccard_sql()}

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .prefix import bucket_offsets
+from ..operators.prefix import bucket_offsets
 from .scratch import Scratch, packed, unpacked
 
 BITS = 12
@@ -95,6 +95,6 @@ def shard_rows(rows: DataFrame, text: Column, ident: list[str], size: Column, p:
     above = [((F.col("k1") > a) | ((F.col("k1") == a) & (F.col("k2") >= b))).cast("int") for a, b in bounds]
     n = max(1, -(-keyed.count() // (p.shards * p.bucket_rows)))
     dealt = keyed.withColumns({"shard": reduce(lambda x, y: x + y, above, F.lit(0)), "_sub": F.pmod("k2", F.lit(n))})
-    before = bucket_offsets(dealt.groupBy("shard", "_sub").agg(F.count(F.lit(1)).alias("n")), ["shard"], "_sub", {"n": "_n0"})
+    before = bucket_offsets(dealt.groupBy("shard", "_sub").agg(F.count(F.lit(1)).alias("n")), ["shard"], "_sub", {"n": "_n0"}, n)
     slot = F.row_number().over(W.partitionBy("shard", "_sub").orderBy("k2", "k1")) - 1 + F.col("_n0")
     return unpacked(dealt.join(before, ["shard", "_sub"]).withColumn("slot", slot.cast("long")), "size", "shard", "slot")

@@ -174,11 +174,10 @@ def one_of_each(minima: np.ndarray, p: ToxicParams) -> np.ndarray:
 def fit_grammar(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, train: Column, p: ToxicParams = ToxicParams()) -> Grammar:
     """Learn from at most p.sample labelled rows that ``train`` admits, chosen by a hash of the key; near copies count once."""
     spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    known = labels.filter(train & F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.max(label).alias("_y"))
+    known = labels.filter(train & F.col(f"`{label}`").isNotNull() & F.col(f"`{key}`").isNotNull()).groupBy(F.col(f"`{key}`").alias("_k")).agg(F.max(f"`{label}`").alias("_y"))
     share = min(1.0, 0.95 * p.sample / max(known.count(), 1))
     known = known.filter(F.pmod(F.xxhash64(F.lit(3), "_k"), F.lit(1 << 20)) < F.lit(share * (1 << 20))).limit(p.sample)
-    rows = docs.select(F.col(key).alias("_k"), F.col(text).alias("text")).join(known, "_k").select("text", (F.col("_y") > 0).cast("int").alias("y"), F.col("_k").cast("string").alias("k"))
+    rows = docs.select(F.col(f"`{key}`").alias("_k"), F.col(f"`{text}`").alias("text")).join(known, "_k").select("text", (F.col("_y") > 0).cast("int").alias("y"), F.col("_k").cast("string").alias("k"))
     every = rows.dropDuplicates().withColumn("h", F.xxhash64("k", "text")).cache()
     seen = every.mapInArrow(_minima(p), "text string, y int, k string, h long, minima binary").select("y", "h", "minima").collect()
     chosen = []
@@ -242,7 +241,6 @@ def _evidence(grammar: Grammar):
 
 def score_toxicity(docs: DataFrame, keep: list[str], text: str, grammar: Grammar) -> DataFrame:
     """Kept columns, score (0 to 1) and the evidence found in every whole text; null texts are empty ones. Kept columns named like a result give way to it."""
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):

@@ -157,7 +157,6 @@ def count_tokens(docs: DataFrame, keep: list[str], text: str, counter: PieceCoun
     a full match is one unknown token. Null, empty and white texts count 0. One row
     per row, repeated or not. Kept columns named like a result give way to it.
     """
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
