@@ -42,7 +42,7 @@ def mix_sql(p: MixParams = MixParams()) -> str:
     hit as (select rid, k, greatest(0, least(lo + size, take) - lo) w from passes where size > 0),
     met as (select q.rid, min(slot) first_slot from passes q join blocks b on q.sid = b.sid and q.size > 0 and q.lo < least((block + 1) * {b}, take) and q.lo + q.size > block * {b} group by 1),
     taken as (select rid, sum(w)::bigint taken, sum(case when w * 2 > size then 1 else 0 end)::int copies from hit join r using (rid) group by 1)
-    select doc_id, size, source_size, target, coalesce(taken, 0)::bigint taken, coalesce(copies, 0)::int copies, first_slot from r left join taken using (rid) left join met using (rid)
+    select doc_id, size, source_size, target, coalesce(taken, 0)::bigint taken, coalesce(copies, 0)::int copies, coalesce(first_slot, -1)::bigint first_slot from r left join taken using (rid) left join met using (rid)
     """
 
 

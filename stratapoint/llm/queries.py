@@ -28,7 +28,8 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    return mix_sources(docs, ["doc_id"], word_count(F.col("text")), F.col("source"))
+    mixed = mix_sources(docs, ["doc_id"], word_count(F.col("text")), F.col("source"))
+    return mixed.withColumn("first_slot", F.coalesce("first_slot", F.lit(-1)).cast("long"))  # -1: not in the mix
 
 
 def op2_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
