@@ -52,3 +52,9 @@ def unpack_flags(byte: Column) -> dict[str, Column]:
 def class_read(c: Column) -> Column:
     """Legacy overlap class 12 is reported as 1; the overlap flag is a bit of its own."""
     return F.when(c == 12, F.lit(1)).otherwise(c)
+
+
+def civil_day(days: Column) -> tuple[Column, Column]:
+    """Year and day of the year (from 1) of a count of days since 1970-01-01."""
+    d = F.date_add(F.lit("1970-01-01").cast("date"), days.cast("int"))
+    return F.year(d), F.dayofyear(d)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..model import Entry, VoxelKey
 from .lod import KEY
+from .prefix import ranked
+from .scratch import Scratch
 
 PAGE_ENTRIES = 4096  # fixed value: entries of one index page
 GAP = 64 * 1024  # fixed value: bytes between chunks that one read may span
@@ -16,12 +20,13 @@ GAP = 64 * 1024  # fixed value: bytes between chunks that one read may span
 def nodes_of(assigned: DataFrame, record_bytes: int, start: int = 0) -> DataFrame:
     """One row per node, in key order: point_count, byte_size and offset of its chunk.
 
-    The running offset is over nodes, not points: one row per node capacity of points.
+    The running offset is over nodes, not points, and no window holds all nodes of a large cloud.
     """
+    scratch = Scratch(assigned.sparkSession, "nodes")
     n = assigned.groupBy(*KEY).agg(F.count(F.lit(1)).alias("point_count"))
-    n = n.withColumn("byte_size", F.col("point_count") * record_bytes)
-    w = W.orderBy(*KEY).rowsBetween(W.unboundedPreceding, -1)
-    return n.select(*KEY, (F.lit(start) + F.coalesce(F.sum("byte_size").over(w), F.lit(0))).alias("offset"), "byte_size", "point_count")
+    n = scratch.save(n.withColumn("byte_size", F.col("point_count") * record_bytes))
+    placed = ranked(n, [F.col(c) for c in KEY], "_rank", scratch, {"byte_size": "_before"})
+    return placed.select(*KEY, (F.lit(start) + F.col("_before")).alias("offset"), "byte_size", "point_count")
 
 
 def latest_entries(entries: DataFrame, seq: str) -> DataFrame:
@@ -35,10 +40,19 @@ def total_points(hierarchy: DataFrame) -> DataFrame:
 
 def coalesce_ranges(chunks: DataFrame, gap: int = GAP) -> DataFrame:
     """Chunks with ``grp``: those at most gap bytes apart are fetched by one read."""
-    order = W.orderBy("offset", *KEY)
-    end = F.max(F.col("offset") + F.col("byte_size")).over(order.rowsBetween(W.unboundedPreceding, -1))
-    fresh = (end.isNull() | (F.col("offset") > end + gap)).cast("long")
-    return chunks.withColumn("_new", fresh).withColumn("grp", F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, 0))).drop("_new")
+    scratch = Scratch(chunks.sparkSession, "ranges")
+    order = [F.col("offset"), *(F.col(c) for c in KEY)]
+    ends = scratch.save(chunks.withColumn("_end", F.col("offset") + F.col("byte_size")))
+    seen = ranked(ends, order, "_rank", scratch, maxima={"_end": "_before"})
+    fresh = (F.col("_before").isNull() | (F.col("offset") > F.col("_before") + gap)).cast("long")
+    marked = scratch.save(seen.select(*chunks.columns, fresh.alias("_new")))
+    return ranked(marked, order, "_rank", scratch, {"_new": "_groups"}).select(*chunks.columns, (F.col("_groups") + F.col("_new")).alias("grp"))
+
+
+def first_of_nodes(assigned: DataFrame, n: int) -> DataFrame:
+    """The first n points of every node; the pushed-down group limit keeps n of each before the shuffle."""
+    place = F.row_number().over(W.partitionBy(*KEY).orderBy("pos"))
+    return assigned.withColumn("_place", place).filter(F.col("_place") <= n).drop("_place")
 
 
 def plan_pages(entries: list[Entry], limit: int = PAGE_ENTRIES) -> list[tuple[VoxelKey, list[Entry], list[VoxelKey]]]:
@@ -47,15 +61,19 @@ def plan_pages(entries: list[Entry], limit: int = PAGE_ENTRIES) -> list[tuple[Vo
     A set of entries that fits makes one page; else the page holds the root's own entry
     and a pointer for each octant with nodes. A work list, so depth is no concern.
     """
-    out, todo = [], [(VoxelKey.root(), sorted(entries, key=lambda e: e.key))]
+    out, todo = [], deque([(VoxelKey.root(), sorted(entries, key=lambda e: e.key))])
     while todo:
-        root, own = todo.pop(0)
+        root, own = todo.popleft()
         if len(own) <= limit:
             out.append((root, own, []))
             continue
         first = [e for e in own if e.key == root]
-        parts = [(root.child(o), [e for e in own if e.key != root and root.child(o).holds(e.key)]) for o in range(8)]
-        parts = [(k, es) for k, es in parts if es]
+        below: dict[VoxelKey, list[Entry]] = {root.child(o): [] for o in range(8)}
+        for e in own:
+            if e.key != root:
+                up = e.key.level - root.level - 1
+                below[VoxelKey(root.level + 1, e.key.x >> up, e.key.y >> up, e.key.z >> up)].append(e)
+        parts = [(k, es) for k, es in below.items() if es]
         out.append((root, first, [k for k, _ in parts]))
         todo.extend(parts)
     return out

@@ -27,24 +27,27 @@ def bucket_offsets(per_bucket: DataFrame, group: list[str], bucket: str, sums: d
     return inside.join(before, [*group, "_run"]).select(*group, bucket, *[(F.col(out) + F.col(f"_before_{c}")).alias(out) for c, out in sums.items()])
 
 
-def ranked(df: DataFrame, order: list[Column], rank: str, scratch: Scratch, sums: dict[str, str] | None = None) -> DataFrame:
-    """df with a 0-based global rank and exclusive running sums in the given order.
+def ranked(df: DataFrame, order: list[Column], rank: str, scratch: Scratch, sums: dict[str, str] | None = None, maxima: dict[str, str] | None = None) -> DataFrame:
+    """df with a 0-based global rank, exclusive running sums and exclusive running maxima (null before the first row) in the given order.
 
     A table of up to ONE_WINDOW rows is one window. The rows of a larger one are
     range-partitioned and frozen; each partition is ranked alone and shifted by what
     the partitions before it hold, so that only one row per partition meets in a window.
     """
-    sums = sums or {}
+    sums, maxima = sums or {}, maxima or {}
     if df.limit(ONE_WINDOW + 1).count() <= ONE_WINDOW:
         w = W.partitionBy(F.lit(0)).orderBy(*order)
         back = w.rowsBetween(W.unboundedPreceding, -1)
-        return df.select("*", (F.row_number().over(w) - 1).cast("long").alias(rank), *[F.coalesce(F.sum(c).over(back), F.lit(0)).alias(name) for c, name in sums.items()])
+        return df.select("*", (F.row_number().over(w) - 1).cast("long").alias(rank), *[F.coalesce(F.sum(c).over(back), F.lit(0)).alias(name) for c, name in sums.items()], *[F.max(c).over(back).alias(name) for c, name in maxima.items()])
     part = scratch.save(df.repartitionByRange(spread(df.sparkSession), *order).withColumn("_part", F.spark_partition_id()))
-    per = part.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(f"_s_{c}") for c in sums])
-    before = bucket_offsets(per.withColumn("_all", F.lit(0)), ["_all"], "_part", {"_n": "_n0", **{f"_s_{c}": f"_s0_{c}" for c in sums}}).drop("_all")
+    per = part.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(f"_s_{c}") for c in sums], *[F.max(c).alias(f"_m_{c}") for c in maxima])
+    earlier = W.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    before = per.select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_n0"), *[F.coalesce(F.sum(f"_s_{c}").over(earlier), F.lit(0)).alias(f"_s0_{c}") for c in sums], *[F.max(f"_m_{c}").over(earlier).alias(f"_m0_{c}") for c in maxima])
     w = W.partitionBy("_part").orderBy(*order)
     back = w.rowsBetween(W.unboundedPreceding, -1)
     out = part.join(before, "_part").withColumn(rank, F.row_number().over(w) - 1 + F.col("_n0"))
     for c, name in sums.items():
         out = out.withColumn(name, F.coalesce(F.sum(c).over(back), F.lit(0)) + F.col(f"_s0_{c}"))
-    return out.drop("_part", "_n0", *[f"_s0_{c}" for c in sums])
+    for c, name in maxima.items():
+        out = out.withColumn(name, F.greatest(F.max(c).over(back), f"_m0_{c}"))
+    return out.drop("_part", "_n0", *[f"_s0_{c}" for c in sums], *[f"_m0_{c}" for c in maxima])

@@ -12,14 +12,18 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..model import InvalidInput
+
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder; a local one is set only where the session names none (tests)."""
+    """The shared folder; where the session names none, a local one on a single machine (tests), an error on a cluster."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = found.get() if found.isDefined() else None
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise InvalidInput("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='stratapoint-')}")
         root = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     return root
@@ -45,6 +49,10 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def bytes(self, df: DataFrame) -> int:
+        """The size of a saved table on disk, known without a job."""
+        return self._fs.getContentSummary(self.spark._jvm.org.apache.hadoop.fs.Path(df._scratch_path)).getLength()
+
     def drop(self, df: DataFrame) -> None:
         """Delete a saved table that no later plan reads."""
         path = getattr(df, "_scratch_path", None)

@@ -68,8 +68,8 @@ def validate(points: DataFrame, bounds: Bounds | None, scale: tuple, offset: tup
     return row
 
 
-def violations(points: DataFrame, bounds: Bounds | None, scale: tuple, offset: tuple) -> DataFrame:
+def violations(points: DataFrame, bounds: Bounds | None, scale: tuple, offset: tuple, extra: int = 0) -> DataFrame:
     """One row per rule: how many points break it."""
-    told = rules(points.columns, bounds, scale, offset, 0)
+    told = rules(points.columns, bounds, scale, offset, extra)
     row = points.agg(*[F.count(F.when(test, 1)).alias(str(i)) for i, (_, test) in enumerate(told)])
     return row.select(F.explode(F.array(*[F.struct(F.lit(m).alias("rule"), F.col(str(i)).alias("broken")) for i, (m, _) in enumerate(told)])).alias("r")).select("r.*")

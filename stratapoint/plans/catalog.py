@@ -5,11 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import encode as E
-from ..model import Bounds, Lod, PointQuery
+from ..model import Bounds, Lod, PointQuery, VoxelKey
 from ..operators import hierarchy as H
 from ..operators import predicates as P
 from ..operators import stats as S
@@ -147,9 +146,8 @@ def octant_assign(spark, sf):
 
 @query("select i as octant, 3 as level, 2 + (i & 1) as kx, 4 + ((i >> 1) & 1) as ky, 6 + ((i >> 2) & 1) as kz from range(8) t(i)")
 def child_key(spark, sf):
-    o = F.col("id")
-    bit = lambda n: F.shiftright(o, n).bitwiseAND(F.lit(1))
-    return spark.range(8).select(o.alias("octant"), F.lit(3).alias("level"), *[(F.lit(k).cast("long") * 2 + bit(n)).alias(a) for n, (a, k) in enumerate((("kx", 1), ("ky", 2), ("kz", 3)))])
+    kids = [VoxelKey(2, 1, 2, 3).child(o) for o in range(8)]
+    return spark.createDataFrame([(o, k.level, k.x, k.y, k.z) for o, k in enumerate(kids)], "octant long, level int, kx long, ky long, kz long")
 
 
 @query(_LOD + " select idx, level, kx, ky, kz, pos from lod")
@@ -261,19 +259,9 @@ def order_file(spark, sf):
     return cloud.join(nodes.select(*KEY, "offset"), KEY).select("idx", "level", (F.col("offset") + F.col("pos") + 1).alias("place"))
 
 
-@query(_CLOUD + f"select 'coordinates finite' as rule, count(*) filter (where not isfinite(x) or not isfinite(y) or not isfinite(z)) as broken from cloud union all select 'inside bounds', count(*) filter (where not ({_inside(QUERY_BOX)})) from cloud union all select 'quantizable', count(*) filter (where abs(round(y / cast(0.0000001 as double))) > 2147483647) from cloud")
-def validate_rows(spark, sf):
-    cloud = events_cloud(spark, sf)
-    bad = {"coordinates finite": ~S.finite("x") | ~S.finite("y") | ~S.finite("z"), "inside bounds": ~P.in_box(QUERY_BOX), "quantizable": E.quantize(F.col("y"), 1e-7, 0.0).isNull()}
-    row = cloud.agg(*[F.count(F.when(c, 1)).alias(k) for k, c in bad.items()])
-    return row.select(F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), F.col(k).alias("broken")) for k in bad])).alias("r")).select("r.*")
-
-
 @query(_LOD + " select idx, level, kx, ky, kz from (select *, row_number() over (partition by level, kx, ky, kz order by pos) as rn from lod) where rn <= 5")
 def lod_prefix_topk(spark, sf):
-    cloud, _ = assigned(spark, sf)
-    rn = F.row_number().over(W.partitionBy(*KEY).orderBy("pos"))
-    return cloud.withColumn("rn", rn).filter("rn <= 5").select("idx", *KEY)
+    return H.first_of_nodes(assigned(spark, sf)[0], 5).select("idx", *KEY)
 
 
 @query(_CLOUD + ", e as (select cast(idx % 50 as integer) as level, 0 as kx, 0 as ky, 0 as kz, idx as seq, intensity as point_count from cloud) select level, kx, ky, kz, arg_max(point_count, seq) as point_count from e group by all")
@@ -290,5 +278,5 @@ def subtree(spark, sf):
 
 @query(_CLOUD + "select cast(date_part('year', date_add(date '1970-01-01', cast(idx as integer))) as integer) as year, cast(date_part('doy', date_add(date '1970-01-01', cast(idx as integer))) as integer) as day, idx from cloud")
 def civil_days(spark, sf):
-    d = F.date_add(F.lit("1970-01-01").cast("date"), F.col("idx").cast("int"))
-    return events_cloud(spark, sf).select(F.year(d).alias("year"), F.dayofyear(d).alias("day"), "idx")
+    year, day = E.civil_day(F.col("idx"))
+    return events_cloud(spark, sf).select(year.alias("year"), day.alias("day"), "idx")

@@ -17,6 +17,7 @@ from ..operators.predicates import in_box, in_levels, node_meets, selected_nodes
 from ..operators.stats import validate
 
 COLOUR = ("red", "green", "blue")
+WKT_BIT, CARRIED_BITS = 1 << 4, 1 << 3  # fixed values: bits of the global encoding
 WRITTEN = [d for d in DIMENSIONS if d not in ("nir", "wave_packet_index", "wave_packet_offset", "wave_packet_size", "wave_return_location")]
 
 
@@ -34,6 +35,12 @@ class Metadata:
     created: str | None = None
     gps_standard_time: bool = False
     vlrs: list[tuple[str, int, str, bytes, bool]] = field(default_factory=list)  # user, record, description, data, extended
+    encoding: int = 0  # global encoding of the header that the points came from
+
+    @property
+    def global_encoding(self) -> int:
+        """Time base, and what is carried of a source header: bit 3 (synthetic return numbers); bit 4 says that the reference system is WKT."""
+        return int(self.gps_standard_time) | self.encoding & CARRIED_BITS | WKT_BIT
 
 
 def carried(vlrs: list[tuple[str, int, str, bytes, bool]], crs_wkt: str | None) -> list[tuple[str, int, str, bytes, bool]]:
@@ -96,8 +103,8 @@ def write_cloud(df: DataFrame, path: str, bounds: Bounds | None = None, max_poin
         hierarchy = nodes_of(spark.read.parquet(f"{temp}/points"), record + extra, 375)
         hierarchy.coalesce(1).write.parquet(f"{temp}/hierarchy")
         center, half = box.root_cube()
-        spark.createDataFrame([(*center, half, half / 128, float(seen["gps_min"]), float(seen["gps_max"]), *box.min, *box.max, *scale, *offset, int(seen["n"]), [int(seen[f"return_{k}"]) for k in range(1, 16)], meta.file_source_id, meta.guid, meta.system_identifier, meta.generating_software, meta.created, meta.gps_standard_time)],
-            "cx double, cy double, cz double, halfsize double, spacing double, gps_min double, gps_max double, minx double, miny double, minz double, maxx double, maxy double, maxz double, sx double, sy double, sz double, ox double, oy double, oz double, points long, returns array<long>, file_source_id int, guid string, system_identifier string, generating_software string, created string, gps_standard_time boolean").coalesce(1).write.parquet(f"{temp}/info")
+        spark.createDataFrame([(*center, half, half / 128, float(seen["gps_min"]), float(seen["gps_max"]), *box.min, *box.max, *scale, *offset, int(seen["n"]), [int(seen[f"return_{k}"]) for k in range(1, 16)], meta.file_source_id, meta.guid, meta.system_identifier, meta.generating_software, meta.created, meta.gps_standard_time, meta.global_encoding)],
+            "cx double, cy double, cz double, halfsize double, spacing double, gps_min double, gps_max double, minx double, miny double, minz double, maxx double, maxy double, maxz double, sx double, sy double, sz double, ox double, oy double, oz double, points long, returns array<long>, file_source_id int, guid string, system_identifier string, generating_software string, created string, gps_standard_time boolean, global_encoding int").coalesce(1).write.parquet(f"{temp}/info")
         spark.createDataFrame([(i, *v) for i, v in enumerate(records)], "seq int, user_id string, record_id int, description string, data binary, is_extended boolean").coalesce(1).write.parquet(f"{temp}/vlrs")
         if fs.exists(fs_path(path)) or not fs.rename(fs_path(temp), fs_path(path)):
             raise InvalidInput(f"{path} exists or cannot be written")

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.schema import BASE_LENGTH, FORMATS, layout, schema_for_format
@@ -168,22 +169,30 @@ def decode(raw: bytes, fmt: int, extra: int, scale, offset, names: list[str]) ->
     return out
 
 
+def nearest(v: np.ndarray) -> np.ndarray:
+    """The nearest whole number, halves away from zero; what isn't finite stays so."""
+    whole = np.trunc(v)
+    return whole + np.sign(v) * (np.abs(v - whole) >= 0.5)
+
+
 def encode(rows: dict[str, np.ndarray], fmt: int, extra: int, scale, offset) -> bytes:
     """Packed records of an extended format from columns of numbers."""
     n = len(rows["x"])
     r = np.zeros(n, record_dtype(fmt, extra))
     get = lambda k: np.asarray(rows[k]) if k in rows else np.zeros(n, np.int64)
     for i, a in enumerate("xyz"):
-        steps = (np.asarray(rows[a], float) - offset[i]) / scale[i]
-        steps = np.trunc(steps) + np.sign(steps) * (np.abs(steps - np.trunc(steps)) >= 0.5)
-        if not (np.abs(steps) <= 2**31 - 1).all():
+        steps = nearest((np.asarray(rows[a], float) - offset[i]) / scale[i])
+        if not ((steps >= -(2**31)) & (steps <= 2**31 - 1)).all():
             raise InvalidData(f"{a} is outside LAS i32 range")
         r[f"i{a}"] = steps
     r["b14"] = get("return_number").astype(int) & 15 | (get("number_of_returns").astype(int) & 15) << 4
-    flags = get("scan_channel").astype(int) << 4
+    flags = (get("scan_channel").astype(int) & 3) << 4
     for bit, k in ((0, "synthetic"), (1, "key_point"), (2, "withheld"), (3, "overlap"), (6, "scan_direction_flag"), (7, "edge_of_flight_line")):
         flags |= get(k).astype(int) << bit
-    r["b15"], r["angle"] = flags, np.rint(get("scan_angle").astype(np.float32) / np.float32(0.006))
+    angle = nearest((get("scan_angle").astype(np.float32).astype(float) / float(np.float32(0.006))).astype(np.float32))
+    if not ((angle >= -32768) & (angle <= 32767)).all():
+        raise InvalidData("scan_angle must be finite and fit 16 bits")
+    r["b15"], r["angle"] = flags, angle
     for k in ("intensity", "classification", "user_data", "point_source_id", "gps_time", "red", "green", "blue", "nir"):
         if k in r.dtype.names:
             r[k] = get(k)
@@ -192,6 +201,13 @@ def encode(rows: dict[str, np.ndarray], fmt: int, extra: int, scale, offset) ->
     return r.tobytes()
 
 
+def header_bytes(h: Header) -> bytes:
+    """A version 1.4 header; the legacy counts are 0."""
+    corner = [v for lo, hi in zip(h.low, h.high) for v in (hi, lo)]
+    raw = struct.pack("<4sHH16sBB32s32sHHHIIBHI20s", b"LASF", h.file_source_id, h.encoding, h.guid, 1, 4, padded(h.system_identifier, 32), padded(h.generating_software, 32), *h.created, HEADER, h.points_at, h.vlr_count, h.point_format | 0x80 * h.compressed, h.record_length, 0, b"")
+    return raw + struct.pack("<12d", *h.scale, *h.offset, *corner) + struct.pack("<QQIQ", 0, h.evlr_at, h.evlr_count, h.points) + struct.pack("<15Q", *h.returns)
+
+
 def write_las(path: str, rows: dict[str, np.ndarray], fmt: int = 6, scale=(0.001,) * 3, offset=(0.0,) * 3, extra: int = 0, vlrs: list[tuple] = (), made: date | None = None, guid: uuid.UUID | None = None) -> None:
     """A version 1.4 file from driver-side columns: an exporter for what fits one machine."""
     body = encode(rows, fmt, extra, scale, offset)
@@ -200,15 +216,60 @@ def write_las(path: str, rows: dict[str, np.ndarray], fmt: int = 6, scale=(0.001
     records = b"".join(VLR.pack(padded(u, 16), i, len(d), padded(t, 32)) + d for u, i, t, d, _ in head)
     at, n, day = HEADER + len(records), len(rows["x"]), made or date(2024, 1, 1)
     counts = np.bincount(np.asarray(rows.get("return_number", np.zeros(n)), int), minlength=16)[1:16]
-    corner = [f(np.asarray(rows[a], float)) for a in "xyz" for f in (np.max, np.min)]
-    raw = struct.pack("<4sHH16sBB32s32sHHHIIBHI20s", b"LASF", 0, 16, (guid or uuid.UUID(int=0)).bytes_le, 1, 4, padded("stratapoint", 32), padded("stratapoint", 32), day.timetuple().tm_yday, day.year, HEADER, at, len(head), fmt, BASE_LENGTH[fmt] + extra, 0, b"")
-    raw += struct.pack("<12d", *scale, *offset, *corner) + struct.pack("<QQIQ", 0, at + len(body) if tail else 0, len(tail), n) + struct.pack("<15Q", *map(int, counts))
+    corner = [f(np.asarray(rows[a], float)) for f in (np.min, np.max) for a in "xyz"]
+    raw = header_bytes(Header((1, 4), fmt, False, BASE_LENGTH[fmt] + extra, n, at, HEADER, tuple(scale), tuple(offset), tuple(corner[:3]), tuple(corner[3:]), 0, 16,
+        (guid or uuid.UUID(int=0)).bytes_le, "stratapoint", "stratapoint", (day.timetuple().tm_yday, day.year), len(head), at + len(body) if tail else 0, len(tail), tuple(map(int, counts))))
     with open(path, "wb") as f:
         f.write(raw + records + body)
         for u, i, t, d, _ in tail:
             f.write(EVLR.pack(padded(u, 16), i, len(d), padded(t, 32)) + d)
 
 
+def _packed(fmt: int, extra: int, scale, offset, ordinal: str):
+    """Sorted rows as packed records, one row a batch, named by its first ordinal."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                cols = {c: (batch.column(c).to_pylist() if c == "extra_bytes" else batch.column(c).to_numpy(zero_copy_only=False)) for c in batch.schema.names if c != ordinal}
+                yield pa.RecordBatch.from_arrays([pa.array([batch.column(ordinal)[0].as_py()], pa.int64()), pa.array([encode(cols, fmt, extra, scale, offset)], pa.binary())], names=["first", "body"])
+
+    return pack
+
+
+def export_las(points: DataFrame, path: str, fmt: int = 6, scale=(0.001,) * 3, offset=(0.0,) * 3, extra: int = 0, vlrs: list[tuple] = (), ordinal: str = "idx") -> None:
+    """Points as an uncompressed version 1.4 file in the order of ``ordinal``.
+
+    Records are made in tasks and kept in the shared folder; the driver passes them on
+    batch by batch, so the file may be larger than any machine's memory.
+    """
+    from ..operators.scratch import Scratch
+
+    spark = points.sparkSession
+    has = "return_number" in points.columns
+    row = points.agg(F.count(F.lit(1)).alias("n"), *[f(a).alias(f"{n}{a}") for a in "xyz" for n, f in (("lo", F.min), ("hi", F.max))], *([F.count(F.when(F.col("return_number") == k, 1)).alias(f"r{k}") for k in range(1, 16)] if has else [])).first()
+    if not row["n"]:
+        raise InvalidData("cannot write empty file")
+    own = [c for c in points.columns if c == ordinal or c in layout(fmt, extra)]
+    sorted_rows = points.select(*own).repartitionByRange(F.col(ordinal)).sortWithinPartitions(ordinal)
+    body = Scratch(spark, "las").save(sorted_rows.mapInArrow(_packed(fmt, extra, scale, offset, ordinal), "first long, body binary"))
+    head, tail = [v for v in vlrs if not v[4]], [v for v in vlrs if v[4]]
+    records = b"".join(VLR.pack(padded(u, 16), i, len(d), padded(t, 32)) + d for u, i, t, d, _ in head)
+    width, at = BASE_LENGTH[fmt] + extra, HEADER + len(records)
+    h = Header((1, 4), fmt, False, width, row["n"], at, HEADER, tuple(scale), tuple(offset), tuple(row[f"lo{a}"] for a in "xyz"), tuple(row[f"hi{a}"] for a in "xyz"), 0, 16, bytes(16), "stratapoint", "stratapoint", (1, 2024),
+        len(head), at + row["n"] * width if tail else 0, len(tail), tuple(row[f"r{k}"] for k in range(1, 16)) if has else (0,) * 15)
+    to = spark._jvm.org.apache.hadoop.fs.Path
+    out = to(path).getFileSystem(spark._jsc.hadoopConfiguration()).create(to(path))
+    try:
+        out.write(bytearray(header_bytes(h) + records))
+        for r in body.orderBy("first").select("body").toLocalIterator():
+            out.write(bytearray(r["body"]))
+        for u, i, t, d, _ in tail:
+            out.write(bytearray(EVLR.pack(padded(u, 16), i, len(d), padded(t, 32)) + d))
+    finally:
+        out.close()
+
+
 @dataclass
 class Span(InputPartition):
     first: int
@@ -262,7 +323,7 @@ def convert_las(spark: SparkSession, las: str, path: str, max_points_per_node: i
         raise Unsupported("cannot preserve nir or waveform dimensions")
     spark.dataSource.register(LasSource)
     records = [(r.user_id, r.record_id, r.description, source.read(r.at, r.size), r.extended) for r in h.records]
-    meta = Metadata(h.scale, h.offset, crs_wkt, h.file_source_id, str(uuid.UUID(bytes_le=h.guid)), h.system_identifier, h.generating_software, f"{h.created[1]}-{h.created[0]:03d}", bool(h.encoding & 1), records)
+    meta = Metadata(h.scale, h.offset, crs_wkt, h.file_source_id, str(uuid.UUID(bytes_le=h.guid)), h.system_identifier, h.generating_software, f"{h.created[1]}-{h.created[0]:03d}", bool(h.encoding & 1), records, h.encoding)
     points: DataFrame = spark.read.format("las").load(las)
     return write_cloud(points, path, None, max_points_per_node, meta, h.extra)
 

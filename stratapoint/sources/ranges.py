@@ -1,4 +1,4 @@
-"""Byte ranges of local files, HTTP servers and memory."""
+"""Byte ranges of local files, HTTP servers, other stores and memory; all can be sent to tasks."""
 
 from __future__ import annotations
 
@@ -59,6 +59,33 @@ class HttpRanges:
         return got
 
 
+@dataclass
+class StoreRanges:
+    """A file in any store that pyarrow opens by its address (hdfs, s3, gs, abfs)."""
+
+    uri: str
+
+    def _open(self):
+        from pyarrow import fs
+
+        try:
+            store, path = fs.FileSystem.from_uri(self.uri)
+            return store.open_input_file(path)
+        except (OSError, ValueError) as e:
+            raise CloudIoError(f"{self.uri}: {e}") from e
+
+    def size(self) -> int:
+        with self._open() as f:
+            return f.size()
+
+    def read(self, at: int, n: int) -> bytes:
+        with self._open() as f:
+            got = f.read_at(n, at)
+        if len(got) != n:
+            raise CloudIoError(f"range {at}+{n} ends beyond {self.uri}")
+        return got
+
+
 @dataclass
 class CountedRanges:
     """Another source, with a list of the ranges that were read."""
@@ -92,6 +119,10 @@ def within(raw: bytes, at: int, n: int) -> bytes:
 
 
 def ranges_of(path: str):
-    """A source by its address: http(s) or a local file."""
+    """A source by its address: http(s), a local file, or another store."""
     kind = urlparse(path).scheme
-    return HttpRanges(path) if kind in ("http", "https") else FileRanges(path.removeprefix("file://"))
+    if kind in ("http", "https"):
+        return HttpRanges(path)
+    if kind in ("", "file"):
+        return FileRanges(re.sub(r"^file:(//)?", "", path))
+    return StoreRanges(path)
