@@ -80,12 +80,12 @@ def contaminated(docs: DataFrame, keep: list[str], text: str, items: DataFrame,
     masks = [sum(1 << b for b in c) for n in range(p.flips + 1) for c in combinations(range(width), n)]
     asking = wins.withColumn("fp", fingerprint("hs", lane)).select(*key, "hs", "fp", F.explode(blocks_of("fp", p, [0])).alias("x")).select(*key, "hs", "fp", "x.block", "x.value")
     known = bench.select("row", "k", "m", fingerprint("hs", lane).alias("item_fp"))
-    known = scratch.save(known.select("row", "k", "m", "item_fp", F.explode(blocks_of("item_fp", p, masks)).alias("x")).select("row", "k", "m", "item_fp", "x.block", "x.value"))
+    known = known.select("row", "k", "m", "item_fp", F.explode(blocks_of("item_fp", p, masks)).alias("x")).select("row", "k", "m", "item_fp", "x.block", "x.value")
     far = F.col("fp").bitwiseXOR(F.col("item_fp"))
     near_block = [F.when(F.bit_count(F.shiftrightunsigned(far, b * width).bitwiseAND(F.lit((1 << width) - 1))) <= p.flips, b) for b in range(p.blocks)]
-    near = asking.join(small(known, p), ["k", "m", "block", "value"]).filter((F.bit_count(far) <= p.radius) & (F.col("block") == F.coalesce(*near_block)))  # a pair counts in its first block
+    near = asking.join(small(known, scratch, p), ["k", "m", "block", "value"]).filter((F.bit_count(far) <= p.radius) & (F.col("block") == F.coalesce(*near_block)))  # a pair counts in its first block
     items_hs = bench.select("row", "item", F.col("hs").alias("item_hs"), F.col("m").alias("item_m"))
-    pairs = near.select("th", "row", "hs").join(small(items_hs, p), "row")
+    pairs = near.select("th", "row", "hs").join(small(items_hs, scratch, p), "row")
     pairs = pairs.withColumn("both", overlap("hs", "item_hs")).withColumn("sim", F.col("both") / (F.size("hs") + F.col("item_m") - F.col("both")))
     found = scratch.save(pairs.filter(F.col("sim") >= p.threshold - 1e-12).groupBy("th", "item").agg(F.max("sim").alias("sim")))
     out = per_document(docs, keep, ["contaminated", "n_items", "items", "similarity"], F.col(f"`{text}`"), found, [F.array_sort(F.collect_set("item")).alias("items"), F.max("sim").alias("similarity")])

@@ -75,9 +75,9 @@ def scan_licenses(docs: DataFrame, keep: list[str], text: str, templates: dict[s
     asking = wins.withColumn("vs", band_values("hs", bands, rows, p)).select("th", "k", "m", "start", "hs", "vs", F.posexplode("vs").alias("band", "value"))
     listed = known.select("row", "k", "m", band_values("hs", bands, rows, p).alias("item_vs")).select("row", "k", "m", "item_vs", F.posexplode("item_vs").alias("band", "value"))
     shared = F.array_position(F.zip_with("vs", "item_vs", lambda x, y: x == y), True) - 1
-    pairs = asking.join(small(scratch.save(listed), p), ["k", "m", "band", "value"]).filter(F.col("band") == shared)  # a pair counts in its first band
+    pairs = asking.join(small(listed, scratch, p), ["k", "m", "band", "value"]).filter(F.col("band") == shared)  # a pair counts in its first band
     templates_hs = known.select("row", "item", "d", F.col("hs").alias("item_hs"))
-    found = pairs.select("th", "start", "hs", "row").join(small(templates_hs, p), "row").filter(F.size(F.array_intersect("hs", "item_hs")) >= F.ceil(F.col("d") * c - 1e-9))
+    found = pairs.select("th", "start", "hs", "row").join(small(templates_hs, scratch, p), "row").filter(F.size(F.array_intersect("hs", "item_hs")) >= F.ceil(F.col("d") * c - 1e-9))
     found = scratch.save(found.select("th", "item", "start").distinct())
     found = found.select("th", F.split_part("item", F.lit("#"), F.lit(1)).alias("license"), "start")
     out = per_document(docs, keep, ["n_licenses", "licenses", "starts"], F.col(f"`{text}`"), found, [F.array_sort(F.collect_set("license")).alias("licenses"), F.array_sort(F.collect_set(F.struct("start", "license"))).alias("starts")])

@@ -60,7 +60,7 @@ def source_targets(sizes: DataFrame, scratch: Scratch, p: MixParams) -> DataFram
     the asked share. Each round is one aggregate, and only its one row is fetched.
     """
     weight = F.element_at(F.array(*[F.lit(float(x)) for x in p.weights]), (F.col("sid") % len(p.weights) + 1).cast("int"))
-    src = scratch.save(ranked(sizes, [F.col("source_key")], "sid", scratch).withColumn("weight", weight))
+    src = scratch.save(ranked(scratch.save(sizes), [F.col("source_key")], "sid", scratch).withColumn("weight", weight))
     total = src.agg(F.sum("source_size")).first()[0] or 0
     most = F.col("source_size") * F.lit(float(p.cap))
     goal, level, held = p.share * total, 0.0, -1
@@ -133,7 +133,7 @@ def mix_sources(docs: DataFrame, key: list[str], size: Column, source: Column, p
     before = bucket_offsets(rows.groupBy("sid", "bucket").agg(F.sum("size").alias("s")), ["sid"], "bucket", {"s": "_from"}, n)
     w = W.partitionBy("sid", "bucket").orderBy("_hash", *named.values(), "size")
     rows = rows.join(before, ["sid", "bucket"]).withColumn("_row", F.row_number().over(w))
-    rows = rows.withColumn("_from", F.col("_from") + F.sum("size").over(w.rowsBetween(W.unboundedPreceding, 0)) - F.col("size"))
+    rows = scratch.save(rows.withColumn("_from", F.col("_from") + F.sum("size").over(w.rowsBetween(W.unboundedPreceding, 0)) - F.col("size")))
     b = p.block_words
     # the stream of a source is its rows, then its rows again: a pass that begins beyond the target takes nothing
     starts = F.transform(F.sequence(F.lit(0), F.lit(p.cap - 1)), lambda k: F.struct(k.alias("pass"), (F.col("_from") + k * F.col("source_size")).alias("lo")))
@@ -143,7 +143,7 @@ def mix_sources(docs: DataFrame, key: list[str], size: Column, source: Column, p
         lambda k: F.struct(x["pass"].alias("pass"), x["lo"].alias("lo"), k.alias("block")))))
     keep = ["sid", "bucket", "_row", *named.values(), "size", "source_size", "target"]
     pieces = rows.select(*keep, F.explode_outer(spans).alias("p")).select(*keep, "p.pass", "p.lo", "p.block")
-    hit = pieces.join(schedule(sources, scratch, p), ["sid", "block"], "left")
+    hit = pieces.join(scratch.save(schedule(sources, scratch, p)), ["sid", "block"], "left")
     words = F.greatest(F.lit(0), F.least(F.col("lo") + F.col("size"), F.col("word_to")) - F.greatest("lo", "word_from"))
     hit = hit.withColumn("_w", F.when(F.col("slot").isNull(), F.lit(0)).otherwise(words))
     passes = [F.sum(F.when(F.col("pass") == k, F.col("_w")).otherwise(0)).alias(f"_p{k}") for k in range(p.cap)]

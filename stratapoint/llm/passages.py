@@ -29,7 +29,7 @@ from .scratch import Scratch, packed, spread
 class PassageParams:
     words: int = 5
     threshold: float = 0.8
-    broadcast_rows: int = 1_000_000  # 64-bit hashes that may be broadcast; more are joined by a shuffle
+    broadcast_bytes: int = 10 << 20  # of a table of hashes as stored, that may be broadcast; a larger one is joined by a shuffle
 
 
 def words_of(text: Column) -> Column:
@@ -52,9 +52,10 @@ def item_shingles(items: DataFrame, key: str, text: str, scratch: Scratch, p: Pa
     return scratch.save(w.distinct())
 
 
-def small(df: DataFrame, p: PassageParams) -> DataFrame:
-    """Broadcast a table of hashes whose size has been checked; leave a larger one to a shuffle."""
-    return F.broadcast(df) if df.count() <= p.broadcast_rows else df
+def small(df: DataFrame, scratch: Scratch, p: PassageParams) -> DataFrame:
+    """A written table, to be broadcast if its size allows it; a larger one is left to a shuffle."""
+    out = scratch.save(df)
+    return F.broadcast(out) if scratch.bytes(out) <= p.broadcast_bytes else out
 
 
 def windows(docs: DataFrame, text: Column, items: DataFrame, need: Callable[[Column, Column, Column], Column], scratch: Scratch, p: PassageParams) -> DataFrame:
@@ -70,7 +71,7 @@ def windows(docs: DataFrame, text: Column, items: DataFrame, need: Callable[[Col
     if not by_k:
         return spark.createDataFrame([], "th long, k int, m int, start int, hs array<bigint>")
     ks = [r["k"] for r in by_k]
-    own = small(items.select("k", F.explode("hs").alias("h")).groupBy("h").agg(F.min("k").alias("k")), p)
+    own = small(items.select("k", F.explode("hs").alias("h")).groupBy("h").agg(F.min("k").alias("k")), scratch, p)
     texts = docs.select(F.xxhash64(F.coalesce(text, F.lit(""))).alias("th"), words_of(text).alias("w"))
     every = texts.select("th", F.size("w").alias("n"), (F.concat(*[grams("w", k) for k in ks]) if len(ks) > 1 else grams("w", ks[0])).alias("hs"))
     seeds = every.select("th", "n", F.posexplode_outer("hs").alias("at", "h")).filter("h is not null").join(own, "h")
@@ -80,11 +81,10 @@ def windows(docs: DataFrame, text: Column, items: DataFrame, need: Callable[[Col
     places = seeds.select("th", "k", (F.col("at") - before).alias("pos")).groupBy("th", "k").agg(F.array_sort(F.collect_set("pos")).alias("at"))
     least = F.coalesce(*[F.when(F.col("k") == r["k"], r["least"]) for r in by_k])
     places = scratch.save(places.filter(F.size("at") >= least))
-    wanted = small(places.select("th").distinct(), p)
-    bodies = texts.select("th", "w").join(wanted, "th", "left_semi").groupBy("th").agg(F.first("w").alias("w"))
+    bodies = texts.select("th", "w").join(small(places.select("th"), scratch, p), "th", "left_semi").groupBy("th").agg(F.first("w").alias("w"))
     both = places.repartition(spread(spark), "th").join(bodies, "th")
     hs = F.coalesce(*[F.when(F.col("k") == k, grams("w", k)) for k in ks])
-    rows = both.select("th", "k", "at", hs.alias("hs")).withColumn("n", F.size("hs")).join(F.broadcast(sizes) if sizes.count() <= p.broadcast_rows else sizes, "k")
+    rows = both.select("th", "k", "at", hs.alias("hs")).withColumn("n", F.size("hs")).join(F.broadcast(sizes) if scratch.bytes(sizes) <= p.broadcast_bytes else sizes, "k")
     rows = rows.withColumn("w", F.least("m", "n")).withColumn("need", need(F.col("w"), F.col("m"), F.col("d")).cast("int")).filter("size(at) >= need and w >= need and need > 0")
     # the i-th place is the first one in a window that begins after the place before it, and as many follow as are needed
     rows = rows.withColumn("i", F.explode(F.sequence(F.lit(0), F.size("at") - F.col("need"))))
