@@ -20,11 +20,12 @@ def bucket_offsets(per_bucket: DataFrame, group: list[str], bucket: str, sums: d
     back = lambda *by: W.partitionBy(*by).orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
     if buckets <= ONE_WINDOW:
         return per_bucket.select(*group, bucket, *[F.coalesce(F.sum(c).over(back(*group)), F.lit(0)).alias(out) for c, out in sums.items()])
-    runs = per_bucket.withColumn("_run", F.floor(F.col(bucket) / ONE_WINDOW).cast("long"))
-    totals = runs.groupBy(*group, "_run").agg(*[F.sum(c).alias(c) for c in sums])
-    before = bucket_offsets(totals, group, "_run", {c: f"_before_{c}" for c in sums}, -(-buckets // ONE_WINDOW))
-    inside = runs.select(*group, bucket, "_run", *[F.coalesce(F.sum(c).over(back(*group, "_run")), F.lit(0)).alias(out) for c, out in sums.items()])
-    return inside.join(before, [*group, "_run"]).select(*group, bucket, *[(F.col(out) + F.col(f"_before_{c}")).alias(out) for c, out in sums.items()])
+    run = f"_run{bucket}"
+    runs = per_bucket.withColumn(run, F.floor(F.col(bucket) / ONE_WINDOW).cast("long"))
+    totals = runs.groupBy(*group, run).agg(*[F.sum(c).alias(c) for c in sums])
+    before = bucket_offsets(totals, group, run, {c: f"{run}{c}" for c in sums}, -(-buckets // ONE_WINDOW))
+    inside = runs.select(*group, bucket, run, *[F.coalesce(F.sum(c).over(back(*group, run)), F.lit(0)).alias(out) for c, out in sums.items()])
+    return inside.join(before, [*group, run]).select(*group, bucket, *[(F.col(out) + F.col(f"{run}{c}")).alias(out) for c, out in sums.items()])
 
 
 def ranked(df: DataFrame, order: list[Column], rank: str, scratch: Scratch, sums: dict[str, str] | None = None, maxima: dict[str, str] | None = None) -> DataFrame:

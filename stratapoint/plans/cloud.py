@@ -152,6 +152,14 @@ class Cloud:
         return page_roots(self.hierarchy, limit)
 
     def tagged(self, tag: str) -> Cloud:
-        """Jobs run from here on carry the tag; ``spark.interruptTag`` cancels them."""
-        self.spark.addTag(tag)
+        """Jobs that this thread runs from here on carry the tag, by which any thread can cancel them."""
+        self.spark.sparkContext.addJobTag(tag)
+        return self
+
+    def cancel(self, tag: str) -> None:
+        """End all running jobs of the tag: their action raises."""
+        self.spark.sparkContext.cancelJobsWithTag(tag)
+
+    def untagged(self, tag: str) -> Cloud:
+        self.spark.sparkContext.removeJobTag(tag)
         return self
