@@ -7,7 +7,11 @@ first by the multi-sequence algorithm, where a cell's distance is how far beyond
 the boundaries of both its codes the vector lies. It stops at the distance of a link over the root of 2, which
 loses no link: the vectors of a link lie on both sides of the boundaries between their
 codes, so how far each is beyond them adds up, half by half, to the link's distance at most, and the
-nearer of the two visits the other's cell. What it meets there is verified in double precision.
+nearer of the two visits the other's cell.
+
+Only sketches travel to the visited cells: some coordinates of the rotated vector, whose distance is never
+above that of the vectors. Who meets nobody within a link's distance of the sketches
+goes no further; whole vectors follow for the others and are verified in double precision.
 """
 
 from __future__ import annotations
@@ -30,9 +34,11 @@ from .scratch import Scratch, spread
 class VectorParams:
     cosine: float = 0.98
     sample: int = 4096  # vectors that the codebooks are fitted on, at most
-    cell_rows: int = 512  # vectors of one label that a cell should hold on average
-    most_codes: int = 64  # in a codebook
-    chunk: int = 1024  # vectors of a cell in one block
+    cell_rows: int = 2048  # vectors of one label that a cell should hold on average
+    sampled: int = 16  # vectors of the sample for each code, at least
+    chunk: int = 4096  # vectors of a cell in one block
+    asks: int = 1024  # vectors that are compared with a block at once
+    sketch: int = 16  # coordinates that travel to visited cells
     rounds: int = 12
     seed: int = 11
 
@@ -117,25 +123,77 @@ def _pack(kind: str):
     return pack
 
 
-def _assign(books: dict[int, Codebook], kind: str):
+def _assign(books: dict[int, Codebook], kind: str, size: int):
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = batch.column("raw").to_pylist()
-            cell, visits = np.zeros(len(raw), np.int64), [[0]] * len(raw)
+            cell, visits, sketch = np.zeros(len(raw), np.int64), [[0]] * len(raw), [b""] * len(raw)
             width = np.array([len(r) for r in raw])
             for w in np.unique(width):
                 book, at = books.get(int(w)), np.flatnonzero(width == w)
                 if book is None:
                     continue  # a dimension that the sample doesn't hold is one cell
-                own, far = book.beyond(book.rotated(_unit([raw[i] for i in at], kind)))
+                y = book.rotated(_unit([raw[i] for i in at], kind))
+                own, far = book.beyond(y)
+                few = np.ascontiguousarray(y[:, :size], "<f4")
                 cell[at] = own[0] * len(book.halves[1]) + own[1]
                 for k, i in enumerate(at):
                     visits[i] = nearest_cells(far[0][k], far[1][k], book.radius)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(visits, pa.list_(pa.int64()))], names=[*batch.schema.names, "cell", "visits"])
+                    sketch[i] = few[k].tobytes()
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sketch, pa.binary()), pa.array(cell), pa.array(visits, pa.list_(pa.int64()))], names=[*batch.schema.names, "sketch", "cell", "visits"])
 
     return assign
 
 
+def _screen(p: VectorParams):
+    """Which members and askers of a block have another within a link's distance of their sketches; without sketches, all."""
+    most = 2 * (1 - p.cosine) + 1e-3
+
+    def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T <= most
+
+    def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, members, asking, hit = None, [], [], None
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal hit, asking
+            if not members or not asking:
+                asking = []
+                return
+            uid, other = np.array([r[0] for r in asking]), np.array([r[0] for r in members])
+            if members[0][1]:
+                q, m = (np.frombuffer(b"".join(r[1] for r in rows), "<f4").reshape(len(rows), -1) for rows in (asking, members))
+                met = near(q, m) & (uid[:, None] != other[None, :])
+            else:
+                met = uid[:, None] != other[None, :]
+            hit = met.any(0) if hit is None else hit | met.any(0)
+            yield told(uid[met.any(1)], True)
+            asking = []
+
+        def told(uid: np.ndarray, asks: bool) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*[pa.array(np.full(len(uid), v, np.int64)) for v in now], pa.array(np.full(len(uid), asks)), pa.array(uid.astype(np.int64))], names=["grp", "cell", "chunk", "asks", "uid"])
+
+        def close() -> Iterator[pa.RecordBatch]:
+            yield from flush()
+            if hit is not None:
+                yield told(np.array([r[0] for r in members])[hit], False)
+
+        for batch in batches:
+            for *key, asks, uid, sketch in zip(*(batch.column(c).to_pylist() for c in ("grp", "cell", "chunk", "asks", "uid", "sketch"))):
+                if key != now:
+                    yield from close()
+                    now, members, asking, hit = key, [], [], None
+                if not asks:
+                    members.append((uid, sketch))
+                    continue
+                asking.append((uid, sketch))
+                if len(asking) == p.asks:
+                    yield from flush()
+        yield from close()
+
+    return screen
+
+
 def _match(books: dict[int, Codebook], kind: str, p: VectorParams):
     def compare(members: list, asking: list) -> pa.RecordBatch:
         mu, mc, qu, qc = (np.array([r[i] for r in rows], np.int64) for rows in (members, asking) for i in (0, 1))
@@ -175,7 +233,7 @@ def _match(books: dict[int, Codebook], kind: str, p: VectorParams):
                     members.append(row)
                     continue
                 asking.append(row)
-                if len(asking) == p.chunk:
+                if len(asking) == p.asks:
                     if members:
                         yield compare(members, asking)
                     asking = []
@@ -208,18 +266,22 @@ def near_vectors(rows: DataFrame, key: str, vector: str, label: str, p: VectorPa
     classes = scratch.save(merged)
     packed = scratch.save(classes.select("uid", "grp", "copies", "vector").mapInArrow(_pack(kind), "uid long, grp long, copies long, raw binary"))
     most = packed.groupBy("grp").count().agg(F.max("count")).first()[0] or 0
-    codes = min(p.most_codes, max(1, math.ceil(math.sqrt(most / p.cell_rows))))
+    codes = max(1, min(p.sample // p.sampled, math.ceil(math.sqrt(most / p.cell_rows))))
     sample = packed.select("raw", "uid").orderBy(F.xxhash64("uid")).limit(p.sample).collect()
     books = {}
     for width in {len(r["raw"]) for r in sample}:
         books[width] = fit_codebook(_unit([bytes(r["raw"]) for r in sample if len(r["raw"]) == width], kind), codes, p)
-    placed = scratch.save(packed.repartition(spread(spark)).mapInArrow(_assign(books, kind), "uid long, grp long, copies long, raw binary, cell long, visits array<long>"))
-    cells = placed.groupBy("grp", "cell").agg(F.ceil(F.count(F.lit(1)) / p.chunk).cast("long").alias("chunks"))
-    held = placed.join(cells, ["grp", "cell"]).select("grp", "cell", F.pmod(F.xxhash64("uid"), "chunks").alias("chunk"), F.lit(False).alias("asks"), "uid", "copies", "raw", F.col("cell").alias("own"))
-    asked = placed.select("grp", F.explode("visits").alias("cell"), "uid", "copies", "raw", F.col("cell").alias("own")).join(cells, ["grp", "cell"])
-    asked = asked.select("grp", "cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.lit(True).alias("asks"), "uid", "copies", "raw", "own")
-    dealt = held.unionByName(asked).repartition(spread(spark), "grp", "cell", "chunk").sortWithinPartitions("grp", "cell", "chunk", "asks")
-    found = scratch.save(dealt.mapInArrow(_match(books, kind, p), "uid long, links long, root long"))
+    placed = scratch.save(packed.repartition(spread(spark)).mapInArrow(_assign(books, kind, p.sketch), "uid long, grp long, copies long, raw binary, sketch binary, cell long, visits array<long>"))
+    cells = scratch.save(placed.groupBy("grp", "cell").agg(F.ceil(F.count(F.lit(1)) / p.chunk).cast("long").alias("chunks")))
+    place = ["grp", "cell", "chunk"]
+    held = placed.join(cells, ["grp", "cell"]).select("grp", "cell", F.pmod(F.xxhash64("uid"), "chunks").alias("chunk"), F.lit(False).alias("asks"), "uid", "sketch")
+    asked = placed.select("grp", F.explode("visits").alias("cell"), "uid", "sketch").join(cells, ["grp", "cell"])
+    asked = asked.select("grp", "cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.lit(True).alias("asks"), "uid", "sketch")
+    dealt = held.unionByName(asked).repartition(spread(spark), *place).sortWithinPartitions(*place, "asks")
+    met = scratch.save(dealt.mapInArrow(_screen(p), "grp long, cell long, chunk long, asks boolean, uid long"))
+    whole = met.join(placed.select("uid", "copies", "raw", F.col("cell").alias("own")), "uid")
+    whole = whole.repartition(spread(spark), *place).sortWithinPartitions(*place, "asks")
+    found = scratch.save(whole.mapInArrow(_match(books, kind, p), "uid long, links long, root long"))
     roots = components(found.select(F.col("uid").alias("a"), F.col("root").alias("b")), scratch)
     linked = classes.select("uid", "least_key", "copies").join(found.groupBy("uid").agg(F.sum("links").alias("links")), "uid", "left").join(roots.withColumnRenamed("node", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
     least = linked.groupBy("root").agg(F.min("least_key").alias("component_id"))

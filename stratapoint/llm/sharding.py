@@ -21,6 +21,7 @@ from .scratch import Scratch, packed, unpacked
 
 BITS = 12
 LOWEST = -(2**63)
+SAME = 24  # bits of the second key that tell equal rows apart
 
 
 @dataclass(frozen=True)
@@ -84,17 +85,19 @@ def shard_rows(rows: DataFrame, text: Column, ident: list[str], size: Column, p:
 
     Shards hold nearly equal bytes. Rows with equal texts share a shard unless
     their group alone exceeds the slack. Null texts count as empty ones. Repeated
-    rows are separate rows. No rows: no rows. Columns of the caller named size,
+    rows are separate rows. Reruns agree however the rows are dealt out. No rows: no rows. Columns of the caller named size,
     shard or slot give way to the results.
     """
     scratch = Scratch(rows.sparkSession, "shard")
-    k2 = F.xxhash64(F.monotonically_increasing_id(), *[F.col(f"`{c}`") for c in ident])
+    # of the row's own columns, so that reruns agree; the low bits only tell rows apart that are equal in all columns
+    row = F.xxhash64(*[F.col(f"`{c}`") for c in [*ident, *(c for c in rows.columns if c not in ident)]])
+    k2 = row.bitwiseAND(F.lit(-(1 << SAME))).bitwiseOR(F.xxhash64(F.monotonically_increasing_id()).bitwiseAND(F.lit((1 << SAME) - 1)))
     keyed = packed(rows, rows.columns, ["size", "shard", "slot"], size=size, k1=F.xxhash64(F.coalesce(text, F.lit(""))), k2=k2)
-    keyed = scratch.save(keyed)  # freezes the row numbers that tell repeated rows apart
+    keyed = scratch.save(keyed)  # freezes what tells equal rows apart
     bounds = splitters(keyed.select("k1", "k2", "size"), p)
     above = [((F.col("k1") > a) | ((F.col("k1") == a) & (F.col("k2") >= b))).cast("int") for a, b in bounds]
     n = max(1, -(-keyed.count() // (p.shards * p.bucket_rows)))
-    dealt = keyed.withColumns({"shard": reduce(lambda x, y: x + y, above, F.lit(0)), "_sub": F.pmod("k2", F.lit(n))})
+    dealt = keyed.withColumns({"shard": reduce(lambda x, y: x + y, above, F.lit(0)), "_sub": F.pmod(F.shiftright("k2", SAME), F.lit(n))})
     before = bucket_offsets(dealt.groupBy("shard", "_sub").agg(F.count(F.lit(1)).alias("n")), ["shard"], "_sub", {"n": "_n0"}, n)
     slot = F.row_number().over(W.partitionBy("shard", "_sub").orderBy("k2", "k1")) - 1 + F.col("_n0")
     return unpacked(dealt.join(before, ["shard", "_sub"]).withColumn("slot", slot.cast("long")), "size", "shard", "slot")

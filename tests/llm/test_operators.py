@@ -99,6 +99,13 @@ def test_sharding(spark, texts):
     assert all(abs(bytes_[s] - sum(bytes_.values()) / 4) <= largest + 1 for s in range(4))
 
 
+def test_shards_do_not_depend_on_how_rows_are_dealt(spark):
+    docs = documents(spark)
+    p = ShardParams(shards=4, bucket_rows=8)
+    runs = [shard_rows(docs.repartition(n), F.col("text"), ["doc_id"], F.octet_length(F.coalesce("text", F.lit(""))) + 1, p) for n in (1, 5)]
+    assert len({repr(sorted(map(repr, r.select("doc_id", "size", "shard", "slot").collect()))) for r in runs}) == 1
+
+
 def plain_links(texts):
     sets = []
     for t in texts:
@@ -145,7 +152,7 @@ def test_near_vectors(spark):
         assert sorted(map(tuple, near_vectors(df, "vec_id", "embedding", "label", p).collect())) == want
 
 
-@pytest.mark.parametrize("d, cell_rows", [(64, 4), (64, 25), (256, 4), (256, 25)])
+@pytest.mark.parametrize("d, cell_rows", [(64, 4), (64, 25), (256, 4), (768, 25)])
 def test_near_vectors_of_many_dimensions_and_codes(spark, d, cell_rows):
     rng = np.random.default_rng(d)
     a, b = np.linalg.qr(rng.normal(size=(d, 2)))[0].T
