@@ -1,11 +1,12 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Transducers rewrite words into symbols (insult, threat, target, negation,
-report, end of clause); the clause grammar, their composition, reads symbols and
-adds up arc weights: an insult after a negation or in reported speech weighs
-another kind of evidence than a plain one, a target nearby yet another. The insult
-transducer's words and word beginnings, with their weights, are learned from labelled rows,
-and so are the weights of the kinds of evidence. Without a match a text scores by the prior.
+A lexicon rewrites words into symbols (insult, threat, target, negation, report, end of
+clause). Three transducers, composed into one table (``transducers.py``), rewrite the symbols in their scopes: an insult after a
+negation, in reported speech, near a target. What the grammar writes is
+evidence: every clause's arcs are added up by kind, with the weight of the insult, and the clauses' sums over the text;
+the heaviest insult is a kind of its own. A logistic regression weighs the kinds.
+The lexicon's insults (words and word beginnings, with their weights) are learned from labelled rows,
+and so are the weights of the kinds. Without a match a text scores by the prior.
 """
 
 from __future__ import annotations
@@ -22,14 +23,17 @@ from pyspark.sql import types as T
 
 from .scratch import extended, packed, unpacked
 from .shingles import per_text, shingled, slices
+from .transducers import END, INSULT, NEGATION, OTHER, REPORT, TARGET, THREAT, clause_grammar
 
 # fixed values: function words of the grammar in the corpus's languages
 TARGETS = "you your yours yourself he him his she her they them their we us people everyone du dich dir dein deine ihr euch sie tu toi te ton vous votre vos ils elles usted ustedes tus vosotros ellos ellas".split()
 NEGATIONS = "not no never neither nor without isn't aren't wasn't don't doesn't nicht kein keine nie niemals ohne pas jamais aucun sans nunca jamás sin tampoco".split()
 REPORTS = "said says say saying wrote writes claimed claims told called quoted quote according reported sagte schrieb laut behauptete dit écrit selon déclaré dijo escribió según afirmó".split()
 THREATS = "kill hurt destroy burn murder attack beat shoot stab töten umbringen schlagen tuer frapper détruire matar golpear destruir".split()
-INSULT, THREAT, TARGET, NEGATION, REPORT, END = 1, 2, 3, 4, 5, 64
 EVIDENCE = ("plain", "negated", "reported", "targeted", "heaviest", "threats at targets")
+# which kinds of evidence a symbol that the grammar writes is, beside the heaviest insult
+KINDS = {INSULT: (0,), f"{INSULT} negated": (1,), f"{INSULT} reported": (2,), f"{TARGET} hit by {INSULT}": (3,), f"{TARGET} hit by {THREAT}": (5,), f"{THREAT} at target": (5,)}
+KINDS |= {f"{k} at target": (*v, 3) for k, v in KINDS.items() if k.startswith(INSULT)}
 EDGE = re.compile(r"^\W+|\W+$")
 
 
@@ -62,61 +66,51 @@ class Grammar:
     intercept: float = -2.0
 
     def __post_init__(self):
-        self._known: dict[str, tuple[int, float]] = {}
+        self._known: dict[str, tuple[str, float, bool]] = {}
         self._fixed = {w: (k, 1.0) for k, ws in ((REPORT, REPORTS), (NEGATION, NEGATIONS), (TARGET, TARGETS), (THREAT, THREATS)) for w in ws}
+        machine = clause_grammar(self.params.reach)
+        self._arcs = {at: (to, KINDS.get(out, ())) for at, (to, out) in machine.arcs.items()}
 
     def __getstate__(self):
         return self.__dict__ | {"_known": {}}
 
-    def symbol(self, token: str) -> tuple[int, float]:
-        """The transducers' output for one lower-case token: symbol, plus END at the end of a clause, and weight."""
+    def symbol(self, token: str) -> tuple[str, float, bool]:
+        """What the lexicon writes for one lower-case token: symbol, weight, and whether the clause ends after it."""
         got = self._known.get(token)
         if got is None:
             word = EDGE.sub("", token)
-            got = self._fixed.get(word)
-            if got is None:
-                heavy = max((self.insults.get(e, 0.0) for e in entries_of(word, self.params)), default=0.0) if word else 0.0
-                got = (INSULT, heavy) if heavy else (0, 0.0)
-            if token[-1] in ".!?;:" or token.startswith(('"', "“", "«")) and not got[0]:
-                got = (got[0] + END, got[1]) if token[-1] in ".!?;:" else (REPORT, 1.0)
+            kind, weight = self._fixed.get(word, (OTHER, 0.0))
+            if kind == OTHER and word:
+                weight = max((self.insults.get(e, 0.0) for e in entries_of(word, self.params)), default=0.0)
+                kind = INSULT if weight else OTHER
+            if kind == OTHER and token.startswith(('"', "“", "«")):
+                kind, weight = REPORT, 1.0
+            got = (kind, weight, token[-1] in ".!?;:")
             if len(self._known) > 400_000:
                 self._known.clear()
-            self._known[token] = got
+            if len(token) <= 64:
+                self._known[token] = got
         return got
 
     def evidence(self, text: str) -> list[float] | None:
-        """What the clause grammar adds up over the whole text; None without an insult or a threat."""
-        symbol = self.symbol
-        if not any(symbol(t)[0] & 63 in (INSULT, THREAT) for t in text.lower().split()):
+        """What the grammar's clauses add up to over the whole text; None without an insult or a threat."""
+        low, known, symbol = text.lower(), self._known, self.symbol
+        if not any((known.get(t) or symbol(t))[0] in (INSULT, THREAT) for t in set(low.split())):
             return None
-        out, reach = [0.0] * len(EVIDENCE), self.params.reach
-        for line in text.lower().split("\n"):
-            negated = targeted = -reach - 1
-            reported, before = False, []
-            for i, token in enumerate(line.split()):
-                s, w = symbol(token)
-                kind = s & 63
-                if kind == NEGATION:
-                    negated = i
-                elif kind == REPORT:
-                    reported = True
-                elif kind == TARGET:
-                    targeted = i
-                    for k, at, heavy in before:
-                        if i - at <= reach:
-                            out[3 if k == INSULT else 5] += heavy
-                elif kind:
-                    near = i - targeted <= reach
-                    if kind == THREAT:
-                        out[5] += near
-                    else:
-                        out[1 if i - negated <= reach else 2 if reported else 0] += w
-                        out[3] += w * near
-                        out[4] = max(out[4], w)
-                    before.append((kind, i, w))
-                if s & END:
-                    negated = targeted = -reach - 1
-                    reported, before = False, []
+        out, arcs = [0.0] * len(EVIDENCE), self._arcs
+        for line in low.split("\n"):
+            state, last = 0, 0.0  # a line begins a clause; the weight of its last insult or threat
+            for token in line.split():
+                s, w, ends = symbol(token)
+                state, kinds = arcs[state, s]
+                if s in (INSULT, THREAT):
+                    last = w
+                    if s == INSULT and w > out[4]:
+                        out[4] = w
+                for k in kinds:
+                    out[k] += last
+                if ends:
+                    state = arcs[state, END][0]
         return out
 
     def score(self, evidence: list[float] | None) -> float:
@@ -136,7 +130,7 @@ def _features(p: ToxicParams, keep: frozenset | None):
             n: dict[str, int] = {}
             for text in batch.column("text").to_pylist():
                 words = {EDGE.sub("", w) for w in set((text or "").lower().split())}
-                found = {e for w in words if len(w) <= 40 for e in entries_of(w, p)}
+                found = {e for w in words for e in entries_of(w, p)}
                 for e in found if keep is None else found & keep:
                     n[e] = n.get(e, 0) + 1
             yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["entry", "n"])

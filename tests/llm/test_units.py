@@ -170,3 +170,54 @@ def test_clauses_weigh_negation_report_and_target():
 def test_any_text_has_a_score(text):
     g = toxicity.Grammar({"x*": 1.0}, toxicity.ToxicParams())
     assert 0 <= g.score(g.evidence(text)) <= 1
+
+
+def test_the_composed_grammar_writes_what_its_transducers_write_in_turn():
+    from itertools import product
+
+    from stratapoint.llm import transducers as T
+
+    parts = [T.negation(2), T.report(), T.target(2)]
+    whole = T.clause_grammar(2)
+    for n in range(1, 6):
+        for symbols in product(T.READ, repeat=n):
+            want = list(symbols)
+            for m in parts:
+                want = m.run(want)
+            assert whole.run(list(symbols)) == want
+    assert T.compose(T.compose(parts[0], parts[1]), parts[2]).run([T.NEGATION, T.OTHER, T.INSULT, T.INSULT, T.END, T.INSULT]) == [T.NEGATION, T.OTHER, "insult negated", "insult", "end", "insult"]
+
+
+def plain_evidence(grammar, text):
+    """The scopes looked up word by word, without states."""
+    out, reach = [0.0] * 6, grammar.params.reach
+    for line in text.lower().split("\n"):
+        clause = []
+        for token in [*line.split(), None]:
+            if token is not None:
+                clause.append(grammar.symbol(token))
+            if token is None or clause[-1][2]:
+                kinds = [s for s, _, _ in clause]
+                heavy = [i for i, k in enumerate(kinds) if k in ("insult", "threat")]
+                for i, (k, w, _) in enumerate(clause):
+                    before = [j for j in range(max(0, i - reach), i)]
+                    if k == "insult":
+                        out[1 if any(kinds[j] == "negation" for j in before) else 2 if "report" in kinds[:i] else 0] += w
+                        out[4] = max(out[4], w)
+                    if k in ("insult", "threat") and any(kinds[j] == "target" for j in before):
+                        out[3 if k == "insult" else 5] += w
+                    if k == "target" and (last := [j for j in before if j in heavy]):
+                        out[3 if kinds[last[-1]] == "insult" else 5] += clause[last[-1]][1]
+                clause = []
+    return out
+
+
+def test_evidence_of_whole_texts():
+    rng = random.Random(6)
+    grammar = toxicity.Grammar({"vermin": 4.0, "scum*": 3.0}, toxicity.ToxicParams())
+    lexicon = ["vermin", "scumbag", "you", "not", "said", "kill", "the", "house.", "vermin!", "you.", "“so", "\n", "and", "of"]
+    for _ in range(4000):
+        text = " ".join(rng.choice(lexicon) for _ in range(rng.randrange(1, 25)))
+        got = grammar.evidence(text)
+        assert (got or [0.0] * 6) == pytest.approx(plain_evidence(grammar, text) if got else [0.0] * 6), text
+    assert grammar.evidence("a clean text") is None and grammar.evidence("") is None
