@@ -3,9 +3,12 @@
 1. Every text gives its shingle-set identity and, for each tree of the forest, a
    trie key of eight one-byte MinHash labels. Texts with equal sets form one class;
    only classes go on.
-2. Trie keys are matched on a prefix of one fixed length, which the parameters alone give:
-   the longest at which two texts at the threshold meet in some tree with the target
-   recall. It doesn't adapt to the texts; further labels serve the comparison of signatures in 3.
+2. Sorted trie keys meet in the nodes of the tries. Matched prefixes have the length at which two texts at
+   the threshold meet in some tree with the target recall. A prefix that very many classes
+   share is not matched at that length: its classes go on to a second forest with whole keys and as
+   many more trees as make the recall the same, so that prefixes are only as short as a node's
+   load allows. A pair is lost only if it shares no prefix in the first forest, or shares
+   prefixes of crowded nodes alone and then no key in the second.
 3. In each trie node, sorted members are compared by signature with the
    node's leaders. A member as similar to a leader as the threshold asks joins it; others lead
    in turn. By the triangle inequality of Jaccard distance every link of a
@@ -17,8 +20,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +43,8 @@ class JaccardParams:
     recall: float = 0.9995
     slack: float = 0.13  # three to four standard errors of a similarity estimated from trees * depth labels
     leaders: int = 256  # kept for one trie node; further ones are tied to the first
-    node_rows: int = 20000  # a larger trie node is salted
+    node_rows: int = 4096  # classes that a node of the first forest may hold; a larger one of the second is salted
+    seed: int = 7
     block: int = 256  # classes in a block of the exact verification
 
 
@@ -51,8 +56,13 @@ def matched_depth(p: JaccardParams) -> int:
     return 1
 
 
+def trees_for(p: JaccardParams, depth: int) -> int:
+    """The least trees in which texts of the threshold's similarity share a prefix of that length with the target recall."""
+    return math.ceil(math.log(1 - p.recall) / math.log1p(-(p.threshold**depth)))
+
+
 def _signer(p: JaccardParams):
-    multipliers = np.random.default_rng(7).integers(1, 2**63, p.trees * p.depth, dtype=np.uint64) | np.uint64(1)
+    multipliers = np.random.default_rng(p.seed).integers(1, 2**63, p.trees * p.depth, dtype=np.uint64) | np.uint64(1)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -190,6 +200,23 @@ def _verify(p: JaccardParams):
     return verify
 
 
+def _trie(classes: DataFrame, p: JaccardParams, depth: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(uid, tree, node) for prefixes of that length, and the nodes of two classes or more (tree, node, n, first_uid)."""
+    prefix = [F.struct(F.lit(t).alias("tree"), F.substring("sig", t * p.depth + 1, depth).alias("node")) for t in range(p.trees)]
+    trie = classes.select("uid", F.explode(F.array(*prefix)).alias("t")).select("uid", "t.tree", "t.node")
+    nodes = trie.groupBy("tree", "node").agg(F.count(F.lit(1)).alias("n"), F.min("uid").alias("first_uid")).filter("n > 1")
+    return trie, scratch.save(nodes)
+
+
+def _tied(trie: DataFrame, nodes: DataFrame, classes: DataFrame, p: JaccardParams, width: int) -> DataFrame:
+    """(a, b): ties of the nodes' members to leaders."""
+    members = trie.join(nodes, ["tree", "node"]).withColumn("parts", F.ceil(F.col("n") / p.node_rows).cast("long"))
+    members = members.join(classes.select("uid", "sig"), "uid")
+    members = members.select("tree", "node", F.pmod(F.xxhash64("uid"), "parts").alias("salt"), "parts", "first_uid", "uid", "sig")
+    dealt = members.repartition(width, "tree", "node", "salt").sortWithinPartitions("tree", "node", "salt", "sig", "uid")
+    return dealt.mapInArrow(_tie(p), "a long, b long")
+
+
 def jaccard_join(docs: DataFrame, key: str, text: str, p: JaccardParams = JaccardParams()) -> DataFrame:
     """One row per row of docs: key, row_hash, class_id, class_size, n_links, component_id, kept.
 
@@ -207,16 +234,18 @@ def jaccard_join(docs: DataFrame, key: str, text: str, p: JaccardParams = Jaccar
     rows = scratch.save(named.mapInArrow(_signer(p), f"key {kind}, row_hash long, uid long, n_shingles long, sig binary"))
     # a class: the least row (null keys last) stands for it
     classes = scratch.save(rows.filter("uid is not null").groupBy("uid").agg(F.min(F.struct(F.col("key").isNull(), "key", "row_hash")).alias("r"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig")).select("uid", F.col("r.key").alias("rep_key"), F.col("r.row_hash").alias("rep_hash"), "copies", "sig"))
-    depth = matched_depth(p)
-    prefix = [F.struct(F.lit(t).alias("tree"), F.substring("sig", t * p.depth + 1, depth).alias("node")) for t in range(p.trees)]
-    trie = classes.select("uid", F.explode(F.array(*prefix)).alias("t")).select("uid", "t.tree", "t.node")
-    nodes = trie.groupBy("tree", "node").agg(F.count(F.lit(1)).alias("n"), F.min("uid").alias("first_uid")).filter("n > 1")
-    members = trie.join(nodes, ["tree", "node"]).withColumn("parts", F.ceil(F.col("n") / p.node_rows).cast("long"))
-    members = members.join(classes.select("uid", "sig"), "uid")
-    members = members.select("tree", "node", F.pmod(F.xxhash64("uid"), "parts").alias("salt"), "parts", "first_uid", "uid", "sig")
     width = spread(spark)
-    dealt = members.repartition(width, "tree", "node", "salt").sortWithinPartitions("tree", "node", "salt", "sig", "uid")
-    ties = dealt.mapInArrow(_tie(p), "a long, b long")
+    trie, nodes = _trie(classes, p, matched_depth(p), scratch)
+    ties = _tied(trie, nodes.filter(F.col("n") <= p.node_rows), classes, p, width)
+    crowded = nodes.filter(F.col("n") > p.node_rows)
+    if not crowded.isEmpty():
+        deeper = replace(p, trees=trees_for(p, p.depth), seed=p.seed + 1)
+        heavy = trie.join(crowded.select("tree", "node"), ["tree", "node"]).select("uid").distinct()
+        heavy = classes.join(heavy, "uid").select("rep_key", "rep_hash")
+        again = named.join(heavy.hint("merge"), named["key"].eqNullSafe(heavy["rep_key"]) & (named["row_hash"] == heavy["rep_hash"])).select("text")
+        signed = scratch.save(again.mapInArrow(_signer(deeper), "uid long, n_shingles long, sig binary").dropDuplicates(["uid"]))
+        trie, nodes = _trie(signed, deeper, p.depth, scratch)
+        ties = ties.unionByName(_tied(trie, nodes, signed, deeper, width))
     cand = components(ties, scratch).select(F.col("node").alias("uid"), F.col("root").alias("cand"))
     cand = scratch.save(cand.join(classes.drop("sig"), "uid"))
     blocks = cand.groupBy("cand").agg(F.ceil(F.count(F.lit(1)) / p.block).cast("long").alias("blocks"))
