@@ -249,7 +249,7 @@ def jaccard_join(docs: DataFrame, key: str, text: str, p: JaccardParams = Jaccar
     cand = components(ties, scratch).select(F.col("node").alias("uid"), F.col("root").alias("cand"))
     cand = scratch.save(cand.join(classes.drop("sig"), "uid"))
     blocks = cand.groupBy("cand").agg(F.ceil(F.count(F.lit(1)) / p.block).cast("long").alias("blocks"))
-    wanted = cand.join(blocks, "cand").select("uid", "cand", "copies", "rep_key", "rep_hash", "blocks")
+    wanted = scratch.save(cand.join(blocks, "cand").select("uid", "cand", "copies", "rep_key", "rep_hash", "blocks"))
     # always by a shuffle, so that the cost stays in proportion at every size
     texts = named.join(wanted.hint("merge"), named["key"].eqNullSafe(wanted["rep_key"]) & (named["row_hash"] == wanted["rep_hash"])).select("uid", "cand", "copies", "blocks", "text")
     sets = texts.mapInArrow(_shingle_sets(p), "uid long, cand long, copies long, blocks long, shingles binary")
