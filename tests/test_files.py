@@ -17,6 +17,7 @@ from stratapoint.plans import files as Q
 from stratapoint.sources import chunks
 from stratapoint.sources.clustered import open_index, read_clustered, write_clustered
 from stratapoint.sources.las import LasSource, decode, encode, export_las, nearest
+from stratapoint.sources.records import RecordSpill, spill_records
 from stratapoint.sources.ranges import BytesRanges, CountedRanges, FileRanges, StoreRanges, ranges_of
 
 
@@ -138,3 +139,17 @@ def test_a_tagged_scan_is_cancelled(spark, tmp_path):
 def test_a_source_in_memory_is_read(spark):
     index = open_index(BytesRanges(Q._small_file()))
     assert [r for e in index.chunks(PointQuery()) for b in index.chunk(e, ["x"]) for r in b.column("x").to_pylist()] == [0, 1, 2, 3]
+
+
+def test_records_are_spilled_in_batches(spark):
+    spill = RecordSpill(spark, ["x", "y", "z", "red", "synthetic"], batch=4)
+    for i in range(10):
+        spill.append({"x": i * 0.5, "y": 0.0, "z": 1.0, "red": i, "synthetic": i % 2 == 0})
+    got = spill.finish().orderBy("idx").collect()
+    assert [(r["idx"], r["x"], r["red"], r["synthetic"]) for r in got] == [(i, i * 0.5, i, i % 2 == 0) for i in range(10)]
+    with pytest.raises(InvalidInput):
+        spill.append({"x": 0.0})
+    spill.drop()
+    assert spill_records(spark, [], ["x", "y", "z"]).count() == 0
+    with pytest.raises(InvalidInput):
+        RecordSpill(spark, ["x"])
