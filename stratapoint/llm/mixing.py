@@ -41,7 +41,7 @@ def word_count(text: Column) -> Column:
 def shuffle_key(seed: int, key: list[Column]) -> Column:
     """A number below 2**60 by which rows are shuffled: from the MD5 of the seed and the key, so that any SQL engine can repeat it."""
     text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(c.cast("string"), F.lit("")) for c in key])
-    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
 def van_der_corput(i: Column) -> Column:

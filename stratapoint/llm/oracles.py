@@ -6,6 +6,7 @@ from .embeddings import VectorParams
 from .jaccard import JaccardParams
 from .licenses import TEMPLATES, LicenseParams
 from .mixing import MixParams
+from .sharding import SAME, ShardParams
 
 
 def mix_sql(p: MixParams = MixParams()) -> str:
@@ -114,3 +115,33 @@ def licenses_sql(p: LicenseParams = LicenseParams()) -> str:
     places as (select rid, string_agg(start || ':' || license, ',' order by start, license) starts from found group by 1)
     select doc_id, coalesce(n, 0)::int n_licenses, coalesce(licenses, '') licenses, coalesce(starts, '') starts from t left join doc using (rid) left join places using (rid)
     """
+
+
+def shards_sql(p: ShardParams = ShardParams()) -> str:
+    """All levels of the histograms at once: a splitter takes the first level at which its cell is small enough."""
+    number = "('0x' || substr(md5({0}), 1, 15))::bigint"
+    levels = ", ".join(f"({i + 1}, {sh})" for i, sh in enumerate((52, 40, 28, 16, 4, 0)))
+    near = "case when wanted - below <= below + b - wanted then cell << sh else (cell << sh) + (1::bigint << sh) end"
+    chosen = "rn = 1 and (b <= tol or n <= 1 or r = 6) qualify row_number() over (partition by j order by r) = 1"
+    return f"""
+    with ct as (select list_transform(range(0, 256), lambda i: list_reduce(list_prepend(i::bigint, range(0, 8)), lambda c, _: xor(c >> 1, (c & 1) * 3988292384))) tab),
+    d as (select doc_id, coalesce(text, '') t,
+      xor(list_reduce(list_prepend(4294967295::bigint, list_transform(regexp_extract_all(hex(coalesce(text, '')), '..'), lambda x: ('0x' || x)::bigint)), lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1])), 4294967295) crc from documents, ct),
+    e as (select doc_id, strlen(t)::bigint n_bytes, crc, md5(t) h from d),
+    k as (select doc_id, n_bytes + 1 size, crc, {number.format("h")} k1, ({number.format("concat_ws('|', coalesce(doc_id::varchar, ''), crc, n_bytes, h)")} >> {SAME}) << {SAME} k2 from e),
+    tot as (select sum(size) / {float(p.shards)!r} ideal, sum(size) / {float(p.shards)!r} * {p.tolerance!r} tol from k),
+    lv as (select * from (values {levels}) t(r, sh)),
+    w as (select j, ideal * j wanted, ideal, tol from tot, (select unnest(range(1, {p.shards})) j)),
+    c as (select r, sh, k1 >> sh cell, sum(size)::double b, count(*) n from k, lv group by all),
+    cc as (select *, sum(b) over (partition by r order by cell) - b below from c),
+    hit as (select *, row_number() over (partition by j, r order by cell) rn from cc join w on below + b >= wanted),
+    pick as (select *, r = 6 and n > 1 and b > {p.group_slack!r} * ideal heavy from hit where {chosen}),
+    c2 as (select j, wanted, tol, lv.r, lv.sh, k2 >> lv.sh cell, k1, any_value(pick.below) start, sum(size)::double b, count(*) n from pick join k on heavy and k1 = pick.cell, lv group by all),
+    cc2 as (select *, start + sum(b) over (partition by j, r order by cell) - b below from c2),
+    hit2 as (select *, row_number() over (partition by j, r order by cell) rn from cc2 where below + b >= wanted),
+    pick2 as (select * from hit2 where {chosen}),
+    bounds as (select {near} a, -9223372036854775808 b from pick where not heavy union all select k1, {near} from pick2),
+    sh as (select k.*, (select count(*) from bounds where k.k1 > bounds.a or (k.k1 = bounds.a and k.k2 >= bounds.b))::int shard from k),
+    m as (select greatest(1, (count(*) + {p.shards * p.bucket_rows - 1}) // {p.shards * p.bucket_rows})::bigint m from k)
+    select doc_id, size, crc text_crc32, 'bytes' law, shard, row_number() over (partition by shard order by (k2 >> {SAME}) % m, k2, k1) - 1 slot, null::int grown_shard from sh, m
+    """

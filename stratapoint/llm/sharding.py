@@ -1,6 +1,6 @@
 """Sharding by histogram sort: exact byte counts below probes until the splitters settle, then one exchange.
 
-Rows are ordered by (hash of the text, hash of the row). Each round counts the
+Rows are ordered by (number from the MD5 of the text, of the row). Each round counts the
 exact bytes in the cells around every open splitter, 4096 cells a splitter, and
 narrows it to one cell. It stops when the cell holds less than the tolerance. The
 driver sees cells, never rows. A group of equal texts stays in one shard unless
@@ -32,6 +32,11 @@ class ShardParams:
     bucket_rows: int = 4096  # rows that one window orders
 
 
+def md5_number(text: Column) -> Column:
+    """A number below 2**60 that any SQL engine can repeat."""
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
+
+
 def _narrow(keys: DataFrame, key: str, fixed: Column | None, wanted: dict[int, float], start: float, tol: float) -> dict[int, tuple[int, int, float, float, bool]]:
     """For each wanted splitter (bytes below it), the cell of ``key`` it falls in: (first value, end, bytes below, bytes in, several rows of one value)."""
     rows = keys.filter(fixed) if fixed is not None else keys
@@ -90,9 +95,9 @@ def shard_rows(rows: DataFrame, text: Column, ident: list[str], size: Column, p:
     """
     scratch = Scratch(rows.sparkSession, "shard")
     # of the row's own columns, so that reruns agree; the low bits only tell rows apart that are equal in all columns
-    row = F.xxhash64(*[F.col(f"`{c}`") for c in [*ident, *(c for c in rows.columns if c not in ident)]])
+    row = md5_number(F.concat_ws("|", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in [*ident, *(c for c in rows.columns if c not in ident)]]))
     k2 = row.bitwiseAND(F.lit(-(1 << SAME))).bitwiseOR(F.xxhash64(F.monotonically_increasing_id()).bitwiseAND(F.lit((1 << SAME) - 1)))
-    keyed = packed(rows, rows.columns, ["size", "shard", "slot"], size=size, k1=F.xxhash64(F.coalesce(text, F.lit(""))), k2=k2)
+    keyed = packed(rows, rows.columns, ["size", "shard", "slot"], size=size, k1=md5_number(F.coalesce(text, F.lit(""))), k2=k2)
     keyed = scratch.save(keyed)  # freezes what tells equal rows apart
     bounds = splitters(keyed.select("k1", "k2", "size"), p)
     above = [((F.col("k1") > a) | ((F.col("k1") == a) & (F.col("k2") >= b))).cast("int") for a, b in bounds]
