@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
 from ..functions.schema import BASE_LENGTH, schema_for_format
 from ..model import ENTRY, INFO, Bounds, Entry, Info, InvalidData, InvalidInput, Lod, PointQuery, Unsupported, VoxelKey, unpack_page
@@ -198,11 +198,10 @@ class ClusteredReader(DataSourceReader):
 
     def __init__(self, options: dict, schema: T.StructType):
         self.path, self.names, self.query = options["path"], schema.names, _query_of(options)
-        self.most = int(options.get("rangeBytes", str(64 << 20)))
+        self.most, self.gap = int(options.get("rangeBytes", str(64 << 20))), int(options.get("gapBytes", str(GAP)))
         index = open_index(ranges_of(self.path), eager=False)
         codec(index.compression.compressor)
         self.header, self.compression = replace(index.header, records=[]), index.compression
-        self.spans = [r for one in index.reads(self.query, int(options.get("gapBytes", str(GAP)))) for r in self._cut(one)]
 
     def _cut(self, one: tuple[int, int, list[Entry]]) -> Iterator[Reads]:
         own: list[Entry] = []
@@ -217,7 +216,8 @@ class ClusteredReader(DataSourceReader):
         return Reads(min(e.offset for e in es), max(e.offset + e.byte_size for e in es), tuple((e.key.level, e.key.x, e.key.y, e.key.z, e.offset, e.byte_size, e.point_count) for e in es))
 
     def partitions(self) -> list[Reads]:
-        return self.spans or [Reads(0, 0, ())]
+        index = open_index(ranges_of(self.path), eager=False)
+        return [r for one in index.reads(self.query, self.gap) for r in self._cut(one)] or [Reads(0, 0, ())]
 
     def read(self, part: Reads) -> Iterator[pa.RecordBatch]:
         raw = ranges_of(self.path).read(part.first, part.end - part.first) if part.chunks else b""
@@ -226,8 +226,36 @@ class ClusteredReader(DataSourceReader):
             yield from chunk_batches(stored, Entry(VoxelKey(*key), at, size, n), self.header, self.compression, self.names, self.query.bounds)
 
 
+class PushedReader(ClusteredReader):
+    """Takes filters, which Spark only allows where ``spark.sql.python.filterPushdown.enabled`` is set."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Comparisons of x, y and z narrow the box by which nodes and points are chosen, those of ``level`` the levels; Spark tests all of them again."""
+        low, high = {a: -np.inf for a in (*"xyz", "level")}, {a: np.inf for a in (*"xyz", "level")}
+        for f in filters:
+            if isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual)) and len(f.attribute) == 1 and f.attribute[0] in low and f.value is not None:
+                a, v = f.attribute[0], float(f.value)
+                if not isinstance(f, (LessThan, LessThanOrEqual)):
+                    low[a] = max(low[a], v)
+                if not isinstance(f, (GreaterThan, GreaterThanOrEqual)):
+                    high[a] = min(high[a], v)
+        box, lod = self.query.bounds, self.query.lod
+        least = [max(low[a], box.min[i]) if box else low[a] for i, a in enumerate("xyz")]
+        most = [min(high[a], box.max[i]) if box else high[a] for i, a in enumerate("xyz")]
+        if any(np.isfinite(v) for v in (*least, *most)):
+            box = Bounds(tuple(least), tuple(most))
+        if lod.how == "all" and (np.isfinite(low["level"]) or np.isfinite(high["level"])):
+            first = int(max(0, np.ceil(low["level"]))) if np.isfinite(low["level"]) else 0
+            lod = Lod.range(first, max(first, int(np.floor(high["level"])) + 1) if np.isfinite(high["level"]) else 2**31 - 1)
+        self.query = PointQuery(lod, box)
+        return iter(filters)
+
+
 class ClusteredSource(DataSource):
-    """``spark.read.format("clustered").load(path)``: the format's dimensions and the node's key; a narrower schema makes only its columns."""
+    """``spark.read.format("clustered").load(path)``: the format's dimensions and the node's key; a narrower schema makes only its columns.
+
+    With the option ``pushdown`` (and the session's setting for it) filters choose the chunks, beside the query in the options.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -238,7 +266,8 @@ class ClusteredSource(DataSource):
         return T.StructType(schema_for_format(h.point_format, h.extra).fields + [T.StructField(k, T.IntegerType()) for k in KEY])
 
     def reader(self, schema: T.StructType) -> ClusteredReader:
-        return ClusteredReader(self.options, schema)
+        kind = PushedReader if self.options.get("pushdown", "false").lower() == "true" else ClusteredReader
+        return kind(self.options, schema)
 
 
 def read_clustered(spark: SparkSession, path: str, q: PointQuery = PointQuery(), columns: list[str] | None = None) -> DataFrame:
@@ -336,3 +365,11 @@ def write_clustered(cloud, path: str, compressor: int = PLAIN, page_entries: int
         out.close()
         fs.delete(to(temp), False)
         raise
+
+
+def convert_clustered(spark: SparkSession, las: str, path: str, max_points_per_node: int = 100_000, crs_wkt: str | None = None, compressor: int = PLAIN) -> None:
+    """A LAS file as one clustered file, by way of a native cloud in the shared folder."""
+    from .las import convert_las
+
+    cloud = convert_las(spark, las, f"{Scratch(spark, 'convert').base}/cloud", max_points_per_node, crs_wkt)
+    write_clustered(cloud, path, compressor)

@@ -153,3 +153,31 @@ def test_records_are_spilled_in_batches(spark):
     assert spill_records(spark, [], ["x", "y", "z"]).count() == 0
     with pytest.raises(InvalidInput):
         RecordSpill(spark, ["x"])
+
+
+def test_filters_reach_the_index(spark, tmp_path):
+    """Boxes and levels that are asked for as plain filters choose the chunks that are read."""
+    from pyspark.sql.datasource import EqualTo, GreaterThan, LessThanOrEqual
+    from stratapoint.sources.clustered import ClusteredSource, PushedReader, convert_clustered
+    from stratapoint.sources.las import read_header
+
+    export_las(points(spark, 2000).drop("extra_bytes"), f"{tmp_path}/a.las", fmt=7, scale=(0.01,) * 3)
+    path = f"{tmp_path}/a.copc.las"
+    convert_clustered(spark, f"{tmp_path}/a.las", path, 100)
+    assert read_header(ranges_of(path)).points == 2000
+    source = ClusteredSource({"path": path})
+    every = [c for part in PushedReader({"path": path}, source.schema()).partitions() for c in part.chunks]
+    reader = PushedReader({"path": path}, source.schema())
+    asked = [GreaterThan(("x",), 60.0), LessThanOrEqual(("y",), 30), EqualTo(("level",), 1)]
+    assert list(reader.pushFilters(asked)) == asked
+    some = [c for part in reader.partitions() for c in part.chunks]
+    assert {c[0] for c in some} == {1} and len(some) < len(every)
+    spark.dataSource.register(ClusteredSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        df = spark.read.format("clustered").option("pushdown", "true").load(path)
+        got = df.filter("x > 60 and y <= 30 and level = 1").select("x", "y", "z").collect()
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+    want = [r for r in spark.read.format("clustered").load(path).select("x", "y", "z", "level").collect() if r["x"] > 60 and r["y"] <= 30 and r["level"] == 1]
+    assert got and sorted(map(tuple, got)) == sorted((r["x"], r["y"], r["z"]) for r in want)

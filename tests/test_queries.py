@@ -5,9 +5,10 @@ import os
 
 import pytest
 
-from stratapoint.plans import catalog
+from stratapoint.plans import catalog, files
 
 SF = "/root/testdata/sf0.001"
+assert files  # registers its queries
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
 
 
