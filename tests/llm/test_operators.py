@@ -133,6 +133,15 @@ def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(200, 260)] + [(7, 7)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "t")).collect()}
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in [100, *range(200, 260)]}
+    rng = np.random.default_rng(2)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (170, 2))]
+    group = list(range(300))
+    for _ in range(300):
+        for a, b in edges:
+            group[a] = group[b] = min(group[a], group[b])
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "t")).collect()}
+    assert got == {i: group[i] for e in edges if e[0] != e[1] for i in e}
+    assert components(spark.createDataFrame([], "a long, b long"), Scratch(spark, "t")).count() == 0
 
 
 def test_near_vectors(spark):
