@@ -32,7 +32,7 @@ def test_names_with_dots_and_keys_named_like_results(spark):
     assert find_pii(docs, ["a.b"], "t.x").count() == contaminated(docs, ["a.b"], "t.x", docs.filter("`a.b` = 3"), "a.b", "t.x").count() == 14
     assert scan_licenses(docs, ["a.b"], "t.x").count() == count_tokens(docs, ["a.b"], "t.x", PieceCounter.build({"a"}, {"b"})).count() == 14
     assert shard_rows(docs, F.col("`t.x`"), ["a.b"], F.lit(1)).count() == 14
-    for name in ("row_hash", "n_links", "kept"):
+    for name in ("row_hash", "kept"):
         out = jaccard_join(docs.withColumnRenamed("a.b", name), name, "t.x")
         assert out.columns.count(name) == 1 and {r[name] for r in out.collect()} == set(range(14))
     out = near_vectors(vectors.withColumnRenamed("a.b", "n_links"), "n_links", "v.e", "l.b")
