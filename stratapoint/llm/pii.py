@@ -253,7 +253,7 @@ def _named(kind: str):
 
 
 def find_pii(docs: DataFrame, keep: list[str], text: str, p: PiiParams = PiiParams()) -> DataFrame:
-    """Kept columns, n_email, n_ip, n_card, n_phone (all spans of a kind), base_sha256 and spans, one row per row of docs.
+    """Kept columns, n_email, n_ip, n_card, n_phone (all spans of a kind), base_sha256, spans and base (the spans of the base patterns), one row per row of docs.
 
     Null and empty texts have no spans. Repeated rows are separate rows and each
     has its spans; an instance counts once for a pattern however often
@@ -261,7 +261,7 @@ def find_pii(docs: DataFrame, keep: list[str], text: str, p: PiiParams = PiiPara
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "pii")
-    rows = packed(docs, keep, [*[f"n_{k}" for k in KINDS], "base_sha256", "spans"], text=F.col(f"`{text}`"))
+    rows = packed(docs, keep, [*[f"n_{k}" for k in KINDS], "base_sha256", "spans", "base"], text=F.col(f"`{text}`"))
     rows = rows.mapInArrow(_scan(p), extended(rows, ["text"], base=T.StringType(), base_sha256=T.StringType(), found=T.DataType.fromDDL(OCCURRENCE)))
     rows = scratch.save(rows.withColumn("_row", F.monotonically_increasing_id()))
     seen = rows.select("_row", F.explode("found").alias("o")).select("_row", "o.*")
@@ -289,4 +289,4 @@ def find_pii(docs: DataFrame, keep: list[str], text: str, p: PiiParams = PiiPara
     of = lambda k: F.filter("every", lambda s: s["kind"] == k)
     sorted_of = lambda k: F.array_sort(F.transform(of(k), lambda s: F.struct(s["start"].alias("a"), s["stop"].alias("b"))))
     text_of = F.concat(*[F.transform(sorted_of(k), _named(k)) for k in KINDS])
-    return unpacked(every, *[F.size(of(k)).cast("long").alias(f"n_{k}") for k in KINDS], "base_sha256", F.array_join(text_of, ",").alias("spans"))
+    return unpacked(every, *[F.size(of(k)).cast("long").alias(f"n_{k}") for k in KINDS], "base_sha256", F.array_join(text_of, ",").alias("spans"), "base")

@@ -13,7 +13,7 @@ from .embeddings import near_vectors
 from .jaccard import jaccard_join
 from .licenses import scan_licenses
 from .mixing import mix_sources, word_count
-from .pii import find_pii
+from .pii import KINDS, find_pii
 from .quality import QualityParams, fit_quality, score_quality
 from .sharding import shard_rows
 from .toxicity import ToxicParams, fit_grammar, score_toxicity
@@ -73,7 +73,10 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_pii(read(spark, sf_dir, "documents"), ["doc_id"], "text")
+    """The counts are of the base spans, which the patterns fix; spans holds those that the method adds too."""
+    found = find_pii(read(spark, sf_dir, "documents"), ["doc_id"], "text")
+    of = lambda k: F.size(F.filter(F.split("base", ","), lambda s: s.startswith(f"{k}:"))).cast("long")
+    return found.select("doc_id", *[of(k).alias(f"n_{k}") for k in KINDS], "base_sha256", "spans")
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

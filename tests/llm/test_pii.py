@@ -1,9 +1,11 @@
 """Bootstrapped extraction against a plain version of the whole pattern-instance graph, and what it adds to the base spans."""
 
 import collections
+import hashlib
 import random
 
 from stratapoint.llm.pii import KINDS, PiiParams, base_spans, find_pii, form, joined, luhn, occurrences
+from stratapoint.llm.queries import op8_pii
 
 R = random.Random(4)
 WORDS = ["".join(R.choice("abdeilnorstu") for _ in range(R.randrange(2, 8))) for _ in range(200)]
@@ -106,6 +108,19 @@ def test_the_whole_graph(spark):
     assert not wrong  # precision of what is added
 
 
+def test_the_query_counts_base_spans(spark, tmp_path):
+    texts, added = corpus()
+    at = str(tmp_path)
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{at}/documents.parquet")
+    got = op8_pii(spark, at).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(len(texts)))
+    for r in got:
+        base = base_spans(texts[r["doc_id"]] or "")
+        assert [r[f"n_{k}"] for k in KINDS] == [sum(s[0] == k for s in base) for k in KINDS]
+        assert r["base_sha256"] == hashlib.sha256(joined(base).encode()).hexdigest()
+    assert any(len(r["spans"].split(",")) > r["n_card"] == 0 for r in got if texts[r["doc_id"]] in added)  # the method's spans are there, beside the counts
+
+
 def test_forms():
     assert form("4539148803436467") == "d16 L" and form("4539148803436468") == "d16 " and form("10.0.0.1") == "d2.d1.d1.d1 I"
     assert form("+1\n(132) 555-1352") == "+d1 (d3) d3-d4 " and form("nt.26@mail6.example.com") == "a.d2@ad1.a.a "
