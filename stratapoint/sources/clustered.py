@@ -2,7 +2,7 @@
 
 Only pages that a query may reach are fetched by the lazy reader; chunks are read
 in coalesced ranges, in tasks, by the data source ``clustered``. How chunks are stored is
-a matter of ``chunks.py``. The writer encodes nodes in tasks and streams them into one file.
+a matter of ``chunks.py``. The writer encodes nodes in tasks, which put them into one file.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,6 +28,7 @@ from ..operators.lod import KEY
 from ..operators.scratch import Scratch
 from .chunks import PLAIN, Compression, chunk_table, codec
 from .las import EVLR, HEADER, VLR, Header, decode, encode, header_bytes, padded, read_header, record_dtype
+from .placed import write_placed
 from .ranges import ranges_of
 
 PAGE_BYTES, ALL_BYTES = 64 << 20, 256 << 20  # fixed values: bytes of one page and of all
@@ -285,18 +287,20 @@ def read_clustered(spark: SparkSession, path: str, q: PointQuery = PointQuery(),
 
 
 def _nodes_packed(fmt: int, extra: int, scale, offset, compressor: int):
-    """Sorted points of a partition as one row a node: its stored chunk."""
+    """Sorted points of a partition as one row a node: its stored chunk, with the partition and its place there in bytes."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, parts = None, []
+        now, parts, part, at = None, [], TaskContext.get().partitionId(), 0
 
         def stored(key, parts) -> pa.RecordBatch:
+            nonlocal at
             rows = pa.Table.from_batches(parts)
             n = rows.num_rows
             cols = {c: (rows.column(c).to_pylist() if c == "extra_bytes" else rows.column(c).to_numpy()) for c in rows.column_names if c not in KEY}
             width = BASE_LENGTH[fmt] + extra
             body = codec(compressor, packing=True)(encode(cols, fmt, extra, scale, offset), n, width)
-            return pa.RecordBatch.from_arrays([*[pa.array([k], pa.int32()) for k in key], pa.array([n], pa.int64()), pa.array([len(body)], pa.int64()), pa.array([body], pa.binary())], names=[*KEY, "point_count", "byte_size", "body"])
+            at += len(body)
+            return pa.RecordBatch.from_arrays([*[pa.array([k], pa.int32()) for k in (*key, part)], *[pa.array([v], pa.int64()) for v in (at - len(body), n, len(body))], pa.array([body], pa.binary())], names=[*KEY, "part", "at", "point_count", "byte_size", "body"])
 
         for batch in batches:
             keys = np.stack([batch.column(k).to_numpy() for k in KEY], 1)
@@ -317,8 +321,8 @@ def _nodes_packed(fmt: int, extra: int, scale, offset, compressor: int):
 def write_clustered(cloud, path: str, compressor: int = PLAIN, page_entries: int = PAGE_ENTRIES) -> None:
     """A native cloud as one clustered file: records, chunks in node order, their table, and the index's pages.
 
-    Nodes are encoded in tasks and kept in the shared folder; the driver passes one chunk at
-    a time on to the file, which appears under its name only when it is whole. Extra bytes keep their width.
+    Nodes are encoded in tasks, kept in the shared folder and put in their places by tasks (``placed.py``); the driver has
+    the index, a row a node. The file appears under its name only when it is whole. Extra bytes keep their width.
     """
     spark, h = cloud.spark, cloud.header
     codec(compressor, packing=True)
@@ -328,15 +332,17 @@ def write_clustered(cloud, path: str, compressor: int = PLAIN, page_entries: int
     scale, offset = (h["sx"], h["sy"], h["sz"]), (h["ox"], h["oy"], h["oz"])
     scratch = Scratch(spark, "clustered")
     rows = cloud.points.drop("idx").repartitionByRange(*KEY).sortWithinPartitions(*KEY, "pos").drop("pos")
-    chunks = scratch.save(rows.mapInArrow(_nodes_packed(fmt, extra, scale, offset, compressor), "level int, kx int, ky int, kz int, point_count long, byte_size long, body binary"))
-    sizes = chunks.select(*KEY, "point_count", "byte_size").orderBy(*KEY).collect()  # the index: a row a node
+    chunks = scratch.save(rows.mapInArrow(_nodes_packed(fmt, extra, scale, offset, compressor), "level int, kx int, ky int, kz int, part int, at long, point_count long, byte_size long, body binary"))
+    sizes = chunks.select(*KEY, "part", "at", "point_count", "byte_size").orderBy(*KEY).collect()  # the index: a row a node
     own = Compression.of_format(compressor, fmt, extra)
     carried = [(r["user_id"], r["record_id"], r["description"], bytes(r["data"]), r["is_extended"]) for r in cloud.vlrs.collect()]
     head = [("copc", 1, "info", bytes(INFO.size), False), ("laszip encoded", 22204, "compression", own.pack(), False), *(v for v in carried if not v[4])]
     tail = [v for v in carried if v[4]]
     points_at = HEADER + sum(VLR.size + len(v[3]) for v in head)
-    at, entries = points_at + 8, []
+    at, entries, starts = points_at + 8, [], {}
     for r in sizes:
+        if starts.setdefault(r["part"], at - points_at - 8) + r["at"] != at - points_at - 8:
+            raise InvalidData("chunks were not made in key order")
         entries.append(Entry(VoxelKey(*(r[k] for k in KEY)), at, r["byte_size"], r["point_count"]))
         at += r["byte_size"]
     table_at, table = at, chunk_table([r["byte_size"] for r in sizes], [r["point_count"] for r in sizes])
@@ -347,24 +353,9 @@ def write_clustered(cloud, path: str, compressor: int = PLAIN, page_entries: int
     year, day = (int(x) for x in (h["created"] or "0-0").split("-")[:2]) if (h["created"] or "").count("-") == 1 else (0, 0)
     header = Header((1, 4), fmt, compressor != PLAIN, BASE_LENGTH[fmt] + extra, h["points"], points_at, HEADER, scale, offset, tuple(h[f"min{a}"] for a in "xyz"), tuple(h[f"max{a}"] for a in "xyz"),
         h["file_source_id"], h["global_encoding"], uuid.UUID(h["guid"]).bytes_le, h["system_identifier"], h["generating_software"], (day, year), len(head), evlr_at, 1 + len(tail), tuple(h["returns"]))
-    to = spark._jvm.org.apache.hadoop.fs.Path
-    temp = f"{path}.writing-{uuid.uuid4().hex}"
-    fs = to(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    out = fs.create(to(temp))
-    try:
-        out.write(bytearray(header_bytes(header) + b"".join(VLR.pack(padded(u, 16), i, len(d), padded(t, 32)) + d for u, i, t, d, _ in head) + struct.pack("<q", table_at)))
-        for r in chunks.orderBy(*KEY).select("body").toLocalIterator():
-            out.write(bytearray(r["body"]))
-        out.write(bytearray(table + EVLR.pack(padded("copc", 16), 1000, len(pages), padded("index", 32)) + pages))
-        for u, i, t, d, _ in tail:
-            out.write(bytearray(EVLR.pack(padded(u, 16), i, len(d), padded(t, 32)) + d))
-        out.close()
-        if fs.exists(to(path)) or not fs.rename(to(temp), to(path)):
-            raise InvalidInput(f"{path} exists or cannot be written")
-    except BaseException:
-        out.close()
-        fs.delete(to(temp), False)
-        raise
+    front = header_bytes(header) + b"".join(VLR.pack(padded(u, 16), i, len(d), padded(t, 32)) + d for u, i, t, d, _ in head) + struct.pack("<q", table_at)
+    behind = table + b"".join(EVLR.pack(padded(u, 16), i, len(d), padded(t, 32)) + d for u, i, t, d, _ in [("copc", 1000, "index", pages, True), *tail])
+    write_placed(spark, path, front, chunks, starts, table_at - points_at - 8, behind)
 
 
 def convert_clustered(spark: SparkSession, las: str, path: str, max_points_per_node: int = 100_000, crs_wkt: str | None = None, compressor: int = PLAIN) -> None:

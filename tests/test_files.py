@@ -181,3 +181,36 @@ def test_filters_reach_the_index(spark, tmp_path):
         spark.conf.unset("spark.sql.python.filterPushdown.enabled")
     want = [r for r in spark.read.format("clustered").load(path).select("x", "y", "z", "level").collect() if r["x"] > 60 and r["y"] <= 30 and r["level"] == 1]
     assert got and sorted(map(tuple, got)) == sorted((r["x"], r["y"], r["z"]) for r in want)
+
+
+VLRS = [("u", 7, "d", b"abc", False), ("v", 8, "d", b"defg", True)]
+
+
+def by_tasks_and_by_the_driver(monkeypatch, df, write):
+    """The bytes that tasks put in their places, which never visit the driver, and those of its own way for other stores."""
+    from stratapoint.sources import placed
+
+    asked, plain = [], type(df).toLocalIterator
+    monkeypatch.setattr(type(df), "toLocalIterator", lambda df, *a: asked.append(df) or plain(df, *a))
+    first = write("a")
+    assert not asked
+    monkeypatch.setattr(placed, "shared_path", lambda *_: None)
+    second = write("b")
+    assert len(asked) == 1
+    return first, second
+
+
+
+def test_chunks_of_a_clustered_file_pass_by_the_driver(spark, tmp_path, monkeypatch):
+    rows = points(spark, 30_000).repartition(7, "x").drop("extra_bytes")
+    cloud = C.write_cloud(rows, f"{tmp_path}/cloud", None, 200, C.Metadata(scale=(0.01,) * 3, vlrs=VLRS))
+
+    def write(name):
+        write_clustered(cloud, f"{tmp_path}/{name}.copc.las")
+        return (tmp_path / f"{name}.copc.las").read_bytes()
+
+    first, second = by_tasks_and_by_the_driver(monkeypatch, rows, write)
+    assert first == second
+    names = ["x", "y", "gps_time", "level", "kx", "ky", "kz"]
+    got = read_clustered(spark, f"{tmp_path}/a.copc.las").select(*names).collect()
+    assert len(got) == 30_000 and sorted(map(tuple, got)) == sorted(map(tuple, cloud.points.select(*names).collect()))
