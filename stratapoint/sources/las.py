@@ -14,6 +14,7 @@ from datetime import date
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql import functions as F
@@ -21,6 +22,7 @@ from pyspark.sql import types as T
 
 from ..functions.schema import BASE_LENGTH, FORMATS, layout, schema_for_format
 from ..model import Form, InvalidData, LasError, Unsupported
+from .placed import write_placed
 from .ranges import ranges_of
 
 HEADER = 375  # fixed value: bytes of a version 1.4 header
@@ -226,13 +228,16 @@ def write_las(path: str, rows: dict[str, np.ndarray], fmt: int = 6, scale=(0.001
 
 
 def _packed(fmt: int, extra: int, scale, offset, ordinal: str):
-    """Sorted rows as packed records, one row a batch, named by its first ordinal."""
+    """Sorted rows as packed records, one row a batch, named by its partition and its place there in bytes."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, at = TaskContext.get().partitionId(), 0
         for batch in batches:
             if batch.num_rows:
                 cols = {c: (batch.column(c).to_pylist() if c == "extra_bytes" else batch.column(c).to_numpy(zero_copy_only=False)) for c in batch.schema.names if c != ordinal}
-                yield pa.RecordBatch.from_arrays([pa.array([batch.column(ordinal)[0].as_py()], pa.int64()), pa.array([encode(cols, fmt, extra, scale, offset)], pa.binary())], names=["first", "body"])
+                body = encode(cols, fmt, extra, scale, offset)
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([at], pa.int64()), pa.array([len(body)], pa.int64()), pa.array([body], pa.binary())], names=["part", "at", "size", "body"])
+                at += len(body)
 
     return pack
 
@@ -240,8 +245,8 @@ def _packed(fmt: int, extra: int, scale, offset, ordinal: str):
 def export_las(points: DataFrame, path: str, fmt: int = 6, scale=(0.001,) * 3, offset=(0.0,) * 3, extra: int = 0, vlrs: list[tuple] = (), ordinal: str = "idx") -> None:
     """Points as an uncompressed version 1.4 file in the order of ``ordinal``.
 
-    Records are made in tasks and kept in the shared folder; the driver passes them on
-    batch by batch, so the file may be larger than any machine's memory.
+    Records are made in tasks, kept in the shared folder and put in their places by tasks (``placed.py``);
+    the driver knows only how many bytes each partition has.
     """
     from ..operators.scratch import Scratch
 
@@ -252,22 +257,20 @@ def export_las(points: DataFrame, path: str, fmt: int = 6, scale=(0.001,) * 3, o
         raise InvalidData("cannot write empty file")
     own = [c for c in points.columns if c == ordinal or c in layout(fmt, extra)]
     sorted_rows = points.select(*own).repartitionByRange(F.col(ordinal)).sortWithinPartitions(ordinal)
-    body = Scratch(spark, "las").save(sorted_rows.mapInArrow(_packed(fmt, extra, scale, offset, ordinal), "first long, body binary"))
+    body = Scratch(spark, "las").save(sorted_rows.mapInArrow(_packed(fmt, extra, scale, offset, ordinal), "part int, at long, size long, body binary"))
+    starts, length = {}, 0
+    for r in body.groupBy("part").agg(F.sum("size").alias("size")).orderBy("part").collect():
+        starts[r["part"]] = length
+        length += r["size"]
     head, tail = [v for v in vlrs if not v[4]], [v for v in vlrs if v[4]]
     records = b"".join(VLR.pack(padded(u, 16), i, len(d), padded(t, 32)) + d for u, i, t, d, _ in head)
     width, at = BASE_LENGTH[fmt] + extra, HEADER + len(records)
+    if length != row["n"] * width:
+        raise InvalidData(f"{length} bytes of records were made for {row['n']} points")
     h = Header((1, 4), fmt, False, width, row["n"], at, HEADER, tuple(scale), tuple(offset), tuple(row[f"lo{a}"] for a in "xyz"), tuple(row[f"hi{a}"] for a in "xyz"), 0, 16, bytes(16), "stratapoint", "stratapoint", (1, 2024),
-        len(head), at + row["n"] * width if tail else 0, len(tail), tuple(row[f"r{k}"] for k in range(1, 16)) if has else (0,) * 15)
-    to = spark._jvm.org.apache.hadoop.fs.Path
-    out = to(path).getFileSystem(spark._jsc.hadoopConfiguration()).create(to(path))
-    try:
-        out.write(bytearray(header_bytes(h) + records))
-        for r in body.orderBy("first").select("body").toLocalIterator():
-            out.write(bytearray(r["body"]))
-        for u, i, t, d, _ in tail:
-            out.write(bytearray(EVLR.pack(padded(u, 16), i, len(d), padded(t, 32)) + d))
-    finally:
-        out.close()
+        len(head), at + length if tail else 0, len(tail), tuple(row[f"r{k}"] for k in range(1, 16)) if has else (0,) * 15)
+    behind = b"".join(EVLR.pack(padded(u, 16), i, len(d), padded(t, 32)) + d for u, i, t, d, _ in tail)
+    write_placed(spark, path, header_bytes(h) + records, body, starts, length, behind, replace=True)
 
 
 @dataclass

@@ -200,6 +200,20 @@ def by_tasks_and_by_the_driver(monkeypatch, df, write):
     return first, second
 
 
+def test_records_of_a_plain_file_pass_by_the_driver(spark, tmp_path, monkeypatch):
+    rows = points(spark, 30_000).repartition(7, "x").drop("extra_bytes")  # several batches and partitions
+
+    def write(name):
+        export_las(rows, f"{tmp_path}/{name}.las", fmt=7, scale=(0.01,) * 3, vlrs=VLRS)
+        return (tmp_path / f"{name}.las").read_bytes()
+
+    first, second = by_tasks_and_by_the_driver(monkeypatch, rows, write)
+    assert first == second
+    spark.dataSource.register(LasSource)
+    got = spark.read.format("las").load(f"{tmp_path}/a.las").select("idx", "x", "gps_time").orderBy("idx").collect()
+    assert [tuple(r) for r in got] == [(i, i * 37 % 101 * 1.0, i * 0.5) for i in range(30_000)]
+    assert not [p.name for p in tmp_path.iterdir() if "writing" in p.name]
+
 
 def test_chunks_of_a_clustered_file_pass_by_the_driver(spark, tmp_path, monkeypatch):
     rows = points(spark, 30_000).repartition(7, "x").drop("extra_bytes")
