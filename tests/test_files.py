@@ -17,7 +17,7 @@ from stratapoint.plans import files as Q
 from stratapoint.sources import chunks
 from stratapoint.sources.clustered import open_index, read_clustered, write_clustered
 from stratapoint.sources.las import LasSource, decode, encode, export_las, nearest
-from stratapoint.sources.records import RecordSpill, spill_records
+from stratapoint.sources.records import RecordBatches, RecordSpill, spill_records, spill_rows
 from stratapoint.sources.ranges import BytesRanges, CountedRanges, FileRanges, StoreRanges, ranges_of
 
 
@@ -238,3 +238,17 @@ def test_first_points_need_no_file(spark, monkeypatch):
     monkeypatch.setattr(Q, "_written", {})
     got = Q.cloud_first_points(spark, "/root/testdata/sf0.001").collect()
     assert [r["place"] for r in got] == list(range(1, 101)) and Q.size_hints(spark, "/root/testdata/sf0.001").count() == 1
+
+
+def test_rows_are_fed_to_spills_in_tasks(spark, monkeypatch):
+    """Each task feeds its range record by record; no row visits the driver."""
+    rows = points(spark, 5000).repartition(5, "x")
+    monkeypatch.setattr(type(rows), "toLocalIterator", lambda *_: pytest.fail("rows went to the driver"))
+    got = spill_rows(rows.withColumn("idx", F.col("idx") * 3 + 7), "idx", ["x", "y", "z", "intensity"], 300).orderBy("idx").collect()
+    assert [tuple(r) for r in got] == [(i, i * 37 % 101 * 1.0, i * 53 % 97 * 1.0, i * 71 % 89 * 1.0, i % 7) for i in range(5000)]
+    assert spill_rows(rows.filter("idx < 0"), "idx", ["x", "y", "z"]).count() == 0
+    own = RecordBatches(["x", "y", "z"], 2)
+    assert own.append({"x": 0.0, "y": 0.0, "z": 0.0}) is None and own.append({"x": 1.0, "y": 0.0, "z": 0.0}).num_rows == 2 and own.take() is None
+    with pytest.raises(InvalidInput):
+        own.append({"x": 0.0})
+    assert Q.record_stream(spark, "/root/testdata/sf0.001").count() == spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()
